@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import mixing, quotas, splitting, tokens
+from cohortia.llm import canonical, mixing, quotas, splitting, tokens
 from cohortia.session import spread
 from cohortia.sources.tables import table
 
@@ -23,6 +23,19 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return quotas.sample(table(spark, d, "membresia"), table(spark, d, "v_demografia"), table(spark, d, "objetivo_composicion"))[1]
 
 
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "persona_atributo", "id", "atributo_id", "categoria_id", "valor_crudo")
+    return canonical.map_values(rows, table(spark, d, "atributo_categoria"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(spark, d).select(F.col("id").alias("persona_atributo_id"), "categoria_id")
+
+
+def p5_misses(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.misses(_mapped(spark, d))
+
+
 def _texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return spread(table(spark, d, "documents", "doc_id", "text", *columns), "doc_id")
 
@@ -62,7 +75,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(_texts(spark, d), only_long=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p6_ids, p6_round_trip, p6_spans, p7_found, p7_mix, p7_shares, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p5_found, p5_misses, p6_ids, p6_round_trip, p6_spans, p7_found, p7_mix, p7_shares, p8_found, p8_pieces)}
 
 SQL = {
     "p1_found": """
