@@ -133,6 +133,9 @@ class Reference:
         typed = [w for w in all_words if w not in EMPTY_WORDS] or all_words
         if not typed:
             return 0, 1.0
+        if len(typed) == 1 and len(typed[0]) == 1:  # a single letter means the one entry that begins with it
+            begun = [n for n, w in enumerate(self.whole) if w.startswith(typed[0])]
+            return (self.ids[begun[0]], 0.2) if len(begun) == 1 else (0, 1.0)
         near = [self.near(w) for w in typed]
         candidates = {n for found in near for w in found for n in self.of_word[w]}
         found = [(self.cost(typed, near, n), -self.frequency[n], self.ids[n]) for n in candidates]
@@ -154,6 +157,8 @@ class Reference:
         typed = [w for w in all_words if w not in EMPTY_WORDS] or all_words
         if not typed:
             return 0
+        if len(typed) == 1 and len(typed[0]) == 1:
+            return self.best(value, threshold)[0]
         near = [self.near(w) for w in typed]
         found = [(self.cost(typed, near, n), -self.frequency[n], self.ids[n]) for n in range(len(self.ids))]
         whole = "".join(all_words)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import canonical, mixing, quotas, splitting, tokens
+from cohortia.llm import canonical, mixing, quotas, splitting, tokens, variants
 from cohortia.session import spread
 from cohortia.sources.tables import table
 
@@ -23,6 +23,25 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return quotas.sample(table(spark, d, "membresia"), table(spark, d, "v_demografia"), table(spark, d, "objetivo_composicion"))[1]
 
 
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    columns = ("nombre", "fecha_nacimiento", "celular", "email", "documento")
+    people = table(spark, d, "persona", "id_persona", *columns)
+    registrations = table(spark, d, "inscripcion", "id", "id_persona", "id_persona_previa", *columns)
+    return variants.links(variants.panel_records(people, registrations, table(spark, d, "alta_en_revision", "id", "datos", "candidatos", "estado")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.pairs_of(_groups(spark, d))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each linked record with the key of its group and the number of its links."""
+    groups = _groups(spark, d)
+    sizes = groups.groupBy("persona").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.col("persona").startswith("p"), 0).otherwise(-1)
+    return groups.join(sizes, "persona").select("clave", "persona", (F.col("n") + own).alias("enlaces"))
+
+
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "persona_atributo", "id", "atributo_id", "categoria_id", "valor_crudo")
     return canonical.map_values(rows, table(spark, d, "atributo_categoria"))
@@ -75,7 +94,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(_texts(spark, d), only_long=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p5_found, p5_misses, p6_ids, p6_round_trip, p6_spans, p7_found, p7_mix, p7_shares, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p3_found, p3_groups, p5_found, p5_misses, p6_ids, p6_round_trip, p6_spans, p7_found, p7_mix, p7_shares, p8_found, p8_pieces)}
 
 SQL = {
     "p1_found": """
