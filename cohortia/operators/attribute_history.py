@@ -77,10 +77,10 @@ def append_changes(satellite: DataFrame, snapshot: DataFrame, keys: list[str], v
     closing rows of keys that the snapshot lacks. A snapshot row's time is its column `at`; closing rows get the latest of them."""
     latest = satellite.groupBy(*keys).agg(F.max_by("hash_diff", "cambio").alias("antes"))
     now = snapshot.select(*keys, F.col(at).alias("cambio"), hash_diff(*values).alias("hash_diff"), *values).dropDuplicates(keys)
-    moment = F.broadcast(now.agg(F.max("cambio").alias("momento")))
-    both = now.withColumn("hay", F.lit(True)).join(latest, keys, "full").crossJoin(moment)
+    moment = now.agg(F.max("cambio")).scalar()
+    both = now.withColumn("hay", F.lit(True)).join(latest, keys, "full")
     changed = F.when(F.col("hay"), ~F.col("hash_diff").eqNullSafe(F.col("antes"))).otherwise(F.col("antes").isNotNull())
-    return both.filter(changed).select(*keys, F.coalesce("cambio", "momento").alias("cambio"), "hash_diff", *values)
+    return both.filter(changed).select(*keys, F.coalesce(F.col("cambio"), moment).alias("cambio"), "hash_diff", *values)
 
 
 def satellite_of_log(log: DataFrame, floor: int = skew.FLOOR) -> tuple[DataFrame, bool]:
