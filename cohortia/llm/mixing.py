@@ -122,10 +122,9 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, blocks
         .withColumn("posicion", F.col("repeticion") * F.col("tokens") + F.col("inicio"))
     )
     turns = schedule(assigned, blocks)
-    block_tokens = F.broadcast(turns.agg(F.max("block_tokens").alias("block_tokens")))
+    block_tokens = turns.agg(F.max("block_tokens")).scalar()
     mixed = (
-        stream.crossJoin(block_tokens)
-        .withColumn("bloque", F.floor(F.col("posicion") / F.col("block_tokens")))
+        stream.withColumn("bloque", F.floor(F.col("posicion") / block_tokens))
         .join(F.broadcast(turns.drop("block_tokens")), ["source", "bloque"])
         .select("doc_id", "source", "repeticion", "n_tokens", "turno", "posicion")
     )
