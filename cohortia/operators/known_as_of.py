@@ -18,7 +18,7 @@ from __future__ import annotations
 from bisect import bisect_right
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,21 +131,26 @@ def as_known(
     )
     asked = events.filter(F.col(entity).isNotNull() & F.col(time).isNotNull()).select(F.col(entity).alias("e"), F.col(event).alias("ev"), micros(events, time).alias("t"))
     heavy = skew.heavy_keys(history, ["e"], floor)
-    out = _searched(*((history, asked) if not heavy else _parts(history, asked, heavy)), bool(heavy))
     if heavy:
+        names = F.broadcast(history.sparkSession.createDataFrame([(r["e"],) for r in heavy], history.select("e").schema))
         best = F.max_by(F.struct("id", "c", "holds"), F.struct("desde", "w", "id"))
-        parts = out.filter("part is not null").groupBy("ev", "a").agg(best.alias("x")).select("ev", "a", "x.*")
-        out = out.filter("part is null").select("ev", "a", "id", "c", "holds").unionByName(parts)
-    out = out.filter("holds")
+        parts = _searched(*_parts(history.join(names, "e", "left_semi"), asked.join(names, "e", "left_semi")))
+        found = parts.groupBy("ev", "a").agg(best.alias("x")).select("ev", "a", "x.*")
+        history, asked = history.join(names, "e", "left_anti"), asked.join(names, "e", "left_anti")
+    out = _searched(*_whole(history, asked)).select("ev", "a", "id", "c", "holds")
+    out = (out.unionByName(found) if heavy else out).filter("holds")
     columns = [F.col("ev").alias(event), F.col("a").alias(attribute), F.col("id").alias(f"row_{row}")]
     return out.select(*columns, *(F.col(f"c.{c}") for c in carry))
 
 
-def _parts(history: DataFrame, asked: DataFrame, heavy: list[Row]) -> tuple[DataFrame, DataFrame]:
-    """Both inputs with `part`, null for entities that aren't divided; rows with `closed`, events once for each part to search."""
-    spark = history.sparkSession
-    names = spark.createDataFrame([(r["e"],) for r in heavy], history.select("e").schema)
-    divided = history.join(F.broadcast(names), "e", "left_semi")
+def _whole(history: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The inputs for entities that aren't divided: `part` and `closed` are null."""
+    part = F.lit(None).cast("string")
+    return history.withColumn("closed", F.lit(None).cast("bigint")).withColumn("part", part), asked.withColumn("part", part)
+
+
+def _parts(divided: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The inputs for divided entities: rows with their `part` and `closed`, events once for each part to search."""
     points = [i / skew.RANGES for i in range(1, skew.RANGES)]
     bounds = divided.groupBy("e", "a").agg(F.array_sort(F.array_distinct(F.percentile_approx("desde", points, 10_000))).alias("bounds"))
     ranged = divided.join(_small(bounds), ["e", "a"]).withColumn("r", skew.range_of("bounds", F.col("desde"))).drop("bounds")
@@ -162,10 +167,7 @@ def _parts(history: DataFrame, asked: DataFrame, heavy: list[Row]) -> tuple[Data
     sent = sent.withColumn("from", F.coalesce(F.array_max(F.transform(safe, lambda x: x["r"])), F.lit(0)))
     sent = sent.withColumn("x", F.explode(F.filter("ranges", lambda x: (x["r"] >= F.col("from")) & (x["first"] <= t))))
     sent_parts = sent.select("e", "ev", "t", F.concat_ws("/", F.col("a").cast("string"), "x.r").alias("part"))
-    rest = lambda df: df.join(F.broadcast(names), "e", "left_anti")
-    none = F.lit(None)
-    rows = rest(history).withColumn("closed", none.cast("bigint")).withColumn("part", none.cast("string")).unionByName(ranged_rows.drop("r"))
-    return rows, rest(asked).withColumn("part", none.cast("string")).unionByName(sent_parts)
+    return ranged_rows.drop("r"), sent_parts
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -173,11 +175,8 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _searched(history: DataFrame, asked: DataFrame, heavy: bool) -> DataFrame:
+def _searched(history: DataFrame, asked: DataFrame) -> DataFrame:
     """Streams both, sorted, through the trees: ev, a, id, c, desde, w, part, holds."""
-    if not heavy:
-        history = history.withColumn("closed", F.lit(None).cast("bigint")).withColumn("part", F.lit(None).cast("string"))
-        asked = asked.withColumn("part", F.lit(None).cast("string"))
     null = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
     rows = history.select("e", "part", F.lit(0).alias("k"), "a", "w", "id", "desde", "hasta", "closed", "c", null(asked, "ev"))
     questions = asked.select("e", "part", F.lit(1).alias("k"), null(history, "a"), F.col("t").alias("w"), null(history, "id"), null(history, "desde"), null(history, "hasta"), null(history, "closed"), null(history, "c"), "ev")
