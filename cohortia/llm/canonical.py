@@ -194,7 +194,10 @@ def map_values(rows: DataFrame, entries: DataFrame, threshold: float = THRESHOLD
     ship(spark)
     frequencies = rows.filter("categoria_id is not null").groupBy(F.col("categoria_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     known = spark.sparkContext.broadcast(references(entries, frequencies))
-    typed = rows.filter("categoria_id is null and valor_crudo is not null").select("id", "atributo_id", "valor_crudo").dropDuplicates(["id"])
+    typed = rows.filter("categoria_id is null and valor_crudo is not null").select("id", "atributo_id", "valor_crudo")
+    tasks = 3 * spark.sparkContext.defaultParallelism  # rows are short but take time, so their size must not decide
+    parts = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    typed = typed.repartition(parts, "id").dropDuplicates(["id"])
 
     def run(batches):
         seen: dict = {}
