@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from cohortia.functions.expressions import fold
 from cohortia.operators.quality import latest_kept
 
-# Texts that stand for no answer, folded.
-NO_ANSWER = ["ns", "nc", "ns/nc", "no sabe", "no contesta", "no responde", "prefiero no decir", "sin respuesta", "no sabe / no contesta"]
+# Answers that stand for none, folded; the codes count only in questions with labels.
+NO_ANSWER = [
+    "no sabe", "no contesta", "no aplica", "no responde", "ns", "nc", "ns/nc", "no sabe / no contesta", "no sabe/no contesta",
+    "prefiero no responder", "prefiere no responder", "sin dato", "don't know", "refused", "n/a",
+]
+NO_ANSWER_CODES = ["98", "99"]
 
 
 def unpivoted(wide: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -33,7 +37,8 @@ def answer_texts(cells: DataFrame, questions: DataFrame, excluded: list[str] = N
     joined = cells.join(F.broadcast(questions), "codigo", "left")
     value = F.trim("valor")
     label = F.coalesce(F.try_element_at("opciones", value), value)
-    reason = F.when(value.isNull() | (value == ""), "vacia").when(fold(label).isin(excluded) | fold(value).isin(excluded), "no_respuesta")
+    unlabelled = value.isin(NO_ANSWER_CODES) & (F.size("opciones") > 0) & F.try_element_at("opciones", value).isNull()
+    reason = F.when(value.isNull() | (value == ""), "vacia").when(fold(label).isin(excluded) | fold(value).isin(excluded) | unlabelled, "no_respuesta")
     out = joined.withColumn("motivo", reason).withColumn("etiqueta", F.when(F.col("motivo").isNull(), label))
     text = F.concat(F.trim(F.coalesce("pregunta", "codigo")), F.lit(" → "), F.trim("etiqueta"))
     return out.withColumn("texto", text).withColumn("hash", F.sha2("texto", 256)).drop("opciones", "pregunta")
