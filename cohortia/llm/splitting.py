@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import bisect
 import heapq
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cohortia.llm.tokens import VOCABULARY, Vocabulary, _quoted, pieces, vocabulary
+from cohortia.llm.tokens import VOCABULARY, Vocabulary, _parts, _quoted, pieces, vocabulary
 from cohortia.session import ship
 
 LIMIT, OVERLAP = 512, 64
@@ -64,18 +65,28 @@ class Splitter:
 
     def split(self, text: str) -> list[tuple[int, int, int, int, int, str]]:
         """(start of overlap, start, end) as token positions of the text, start and end as code points, kind of the boundary at the end."""
-        joined, starts, first = pieces([text])
-        starts = starts[: first[1]]  # the last one is the separator's start: the text's end
-        lists = [self.words.cache[joined[a:b]] for a, b in zip(starts.tolist(), starts[1:].tolist())]
-        self.words.cache.trim()
-        sizes = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
+        return next(self.split_all([text]))
+
+    def split_all(self, texts: list[str]):
+        """The pieces of each text; the texts are pre-tokenised together."""
+        for part in _parts(texts):
+            joined, starts, first = pieces(part)
+            at = starts.tolist()
+            lists = list(map(self.words.cache.__getitem__, [joined[a:b] for a, b in zip(at, at[1:])]))
+            for text, a, b in zip(part, first.tolist(), first[1:].tolist()):
+                # b - 1 is the separator: the text's end
+                own = starts[a:b] - starts[a]
+                yield self._split(text, own, lists[a : b - 1])
+            self.words.cache.trim()
+
+    def _split(self, text: str, starts: np.ndarray, lists: list[tuple[int, ...]]) -> list[tuple[int, int, int, int, int, str]]:
+        sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
         total = int(sizes[-1])
-        chars = self._char_of_token(text, lists)
         if total <= self.limit:
             return [(0, 0, total, 0, len(text), "fin")] if total else []
+        chars = self._char_of_token(text, lists)
         self._piece_tokens = sizes.tolist()
-        token_of = dict(zip(starts.tolist(), self._piece_tokens))
-        cuts = self._atoms(text, starts.tolist(), token_of, chars, total)
+        cuts = self._atoms(text, starts.tolist(), chars, total)
         ends = self._merge(cuts, total, text, chars)
         out, start = [], 0
         for end, kind in ends:
@@ -84,15 +95,14 @@ class Splitter:
             start = end
         return out
 
-    def _char_of_token(self, text: str, lists) -> np.ndarray:
-        """Code point at which each token begins (that which contains it, inside a character), with the end."""
-        length = self.words.length
+    def _char_of_token(self, text: str, lists: list[tuple[int, ...]]) -> np.ndarray:
+        """Code point at which each token begins (that which contains it, inside a character), with the end; also whether it begins one."""
         data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        byte = np.concatenate([[0], np.cumsum([length[i] for x in lists for i in x], dtype=np.int64)])
-        count = np.cumsum((data & 0xC0) != 0x80)
-        inner = np.concatenate([count[np.minimum(byte[:-1], len(data) - 1)] - 1, [len(text)]]) if len(data) else np.zeros(1, np.int64)
-        self._whole = np.append((data[np.minimum(byte[:-1], len(data) - 1)] & 0xC0) != 0x80, True) if len(data) else np.ones(1, bool)
-        return inner
+        ids = np.fromiter(chain.from_iterable(lists), np.int64)
+        byte = np.concatenate([[0], np.cumsum(self.words.length[ids], dtype=np.int64)])[:-1]
+        begins = (data & 0xC0) != 0x80
+        self._whole = [*begins[byte].tolist(), True]
+        return np.append(np.cumsum(begins)[byte] - 1, len(text))
 
     def _overlap_start(self, start: int, chars: np.ndarray) -> int:
         """Token at which the overlap of a piece begins: a character's first."""
@@ -114,16 +124,23 @@ class Splitter:
             known[start] = self.limit - (start - back) - extra
         return known[start]
 
-    def _atoms(self, text: str, starts: list[int], token_of: dict[int, int], chars: np.ndarray, total: int) -> list[tuple[int, int]]:
+    def _atoms(self, text: str, starts: list[int], chars: np.ndarray, total: int) -> list[tuple[int, int]]:
         """(token position, strength) of the boundaries of the atomic segments, in order, without the text's ends."""
         most = self.limit - self.overlap - 6
-        all_cuts = [(token_of[c], strength(text, c)) for c in starts[1:-1]]
-        levels = [[x for x in all_cuts if x[1] >= COMMA], [x for x in all_cuts if x[1] == WORD], [x for x in all_cuts if x[1] == INSIDE]]
+        levels: list[list[tuple[int, int]]] = [[], [], []]
+        for c, t in zip(starts[1:-1], self._piece_tokens[1:]):
+            before, after = text[c - 1], text[c]
+            if before.isalnum():  # the usual cases, decided without a closer look
+                s = WORD if after == " " else INSIDE if not after.isspace() else strength(text, c)
+            else:
+                s = strength(text, c)
+            levels[0 if s >= COMMA else 1 if s == WORD else 2].append((t, s))
         cuts = levels[0]
         for finer in levels[1:]:
             cuts = _refine(cuts, finer, most, total)
-        bare = [(t, INSIDE) for t in range(1, total) if self._whole[t]]
-        return _refine(cuts, bare, most, total)
+        if all(b - a <= most for a, b in zip([0, *(t for t, _ in cuts)], [*(t for t, _ in cuts), total])):
+            return cuts
+        return _refine(cuts, [(t, INSIDE) for t in range(1, total) if self._whole[t]], most, total)
 
     def _merge(self, cuts: list[tuple[int, int]], total: int, text: str, chars: np.ndarray) -> list[tuple[int, str]]:
         bounds = [0, *[t for t, _ in cuts], total]
@@ -184,12 +201,12 @@ def split_texts(
         splitter = Splitter(vocabulary(path), limit, overlap)
         for batch in batches:
             rows, at = [], []
-            for k, value in enumerate(batch.column(len(kept)).to_pylist()):
-                # a token has a byte or more, so that short texts need no encoding to be known as within the limit
-                if not value or only_long and len(value.encode("utf-8", "surrogatepass")) <= limit:
-                    continue
-                found = splitter.split(value)
-                if only_long and len(found) < 2:
+            values = batch.column(len(kept)).to_pylist()
+            # a token has a byte or more, so that short texts need no encoding to be known as within the limit
+            asked = [k for k, v in enumerate(values) if v and not (only_long and len(v) <= limit and len(v.encode("utf-8", "surrogatepass")) <= limit)]
+            for k, found in zip(asked, splitter.split_all([values[k] for k in asked])):
+                value = values[k]
+                if not found or only_long and len(found) < 2:
                     continue
                 total = found[-1][2]
                 for n, (back, start, end, a, b, kind) in enumerate(found):
