@@ -75,18 +75,23 @@ def embedded(units: DataFrame, embedder: Embedder, text: str = "texto", batch: i
 
 def distance_to(query: list[float], vector: Column) -> Column:
     """Cosine distance of a column of vectors to one vector, by matrix products; null for vectors of another length or zero."""
-    wanted = np.asarray(query, dtype=float)
-    wanted = wanted / (np.linalg.norm(wanted) or 1.0)
+    return least_distance([query], vector)
+
+
+def least_distance(queries: list[list[float]], vector: Column) -> Column:
+    """Least cosine distance of a column of vectors to any of several."""
+    wanted = np.atleast_2d(np.asarray(queries, dtype=float))
+    norms_wanted = np.linalg.norm(wanted, axis=1, keepdims=True)
+    wanted = (wanted / np.where(norms_wanted == 0, 1, norms_wanted)).T
 
     @F.pandas_udf("double")
     def distance(vectors: pd.Series) -> pd.Series:
-        fits = vectors.map(lambda v: v is not None and len(v) == len(wanted))
+        fits = vectors.map(lambda v: v is not None and len(v) == len(wanted)).to_numpy(dtype=bool)
         out = np.full(len(vectors), np.nan)
-        if fits.any():
+        if fits.any() and wanted.size:
             matrix = np.vstack(vectors[fits].to_numpy()).astype(float)
-            norms = np.linalg.norm(matrix, axis=1)
             with np.errstate(divide="ignore", invalid="ignore"):
-                out[fits.to_numpy()] = 1 - matrix @ wanted / norms
+                out[fits] = 1 - (matrix @ wanted).max(axis=1) / np.linalg.norm(matrix, axis=1)
         return pd.Series(out).where(np.isfinite(out), None)
 
     return distance(vector)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,10 @@ PATTERNS = [
 PERSONAL_FIELDS = {"nombre", "apellido", "documento", "cedula", "email", "celular", "telefono", "direccion", "fecha_nacimiento"}
 
 
+def _named(hits: Column, kind: str) -> Column:
+    return F.transform(hits, lambda v: F.struct(F.lit(kind).alias("tipo"), v.alias("valor")))
+
+
 def personal_data(texts: DataFrame, text: str) -> DataFrame:
     """texts with `hallazgos`, an array of (tipo, valor): personal data found, a kind at a time, what was found being blanked for the next."""
     rest, found = F.col(text), []
@@ -27,10 +31,10 @@ def personal_data(texts: DataFrame, text: str) -> DataFrame:
         hits = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))
         if kind == "cedula":
             hits = F.filter(hits, check_digit_valid)
-            found.append(F.transform(hits, lambda v, k=kind: F.struct(F.lit(k).alias("tipo"), v.alias("valor"))))
+            found.append(_named(hits, kind))
             rest = F.aggregate(hits, rest, lambda t, v: F.replace(t, v, F.lit("·")))
         else:
-            found.append(F.transform(hits, lambda v, k=kind: F.struct(F.lit(k).alias("tipo"), v.alias("valor"))))
+            found.append(_named(hits, kind))
             rest = F.regexp_replace(rest, pattern, "·")
     return texts.withColumn("hallazgos", F.coalesce(F.concat(*found), F.array().cast("array<struct<tipo:string,valor:string>>")))
 

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortia.functions import polarity
-from cohortia.functions.expressions import cosine_distance
-from cohortia.functions.providers import distance_to
+from cohortia.functions.providers import distance_to, least_distance
 
 PRIORITY = ["no_cumple", "cumple", "dudoso", "sin_verificar"]
 FAR = 0.55
+MOST_REFERENCES = 10_000
 
 
 @dataclass(frozen=True)
@@ -89,10 +89,15 @@ def rank_of(vectors: DataFrame, query: list[float], key: str, vector: str, wante
 
 
 def near_any(candidates: DataFrame, references: DataFrame, key: str, vector: str, most: float = 0.45, limit: int = 20) -> DataFrame:
-    """(key, distancia) of candidates by the least distance to any reference. References are few (the questions of one series): they travel as one array."""
-    wanted = references.agg(F.collect_list(vector)).scalar()
-    distance = F.array_min(F.transform(wanted, lambda r: cosine_distance(F.col(vector), r)))
-    return candidates.withColumn("distancia", F.round(distance, 6)).filter(F.col("distancia") <= most).orderBy("distancia", key).limit(limit).select(key, "distancia")
+    """(key, distancia) of candidates by the least distance to any reference.
+
+    References are few (the questions of one series) and sent to the tasks; more than MOST_REFERENCES are an error.
+    """
+    wanted = [r[0] for r in references.select(vector).limit(MOST_REFERENCES + 1).collect()]
+    if len(wanted) > MOST_REFERENCES:
+        raise ValueError(f"more than {MOST_REFERENCES} references")
+    near = candidates.withColumn("distancia", F.round(least_distance(wanted, F.col(vector)), 6))
+    return near.filter(F.col("distancia") <= most).orderBy("distancia", key).limit(limit).select(key, "distancia")
 
 
 def reranked(pool: DataFrame, score: str = "relevancia") -> DataFrame:
