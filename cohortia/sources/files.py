@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortia.session import ship
 from cohortia.sources.spreadsheets import WideSpreadsheet
 from cohortia.sources.spss import SavWide
 
@@ -14,6 +15,7 @@ IDENTIFIED_FIELDS = ["id_persona", "nombre", "documento", "email", "celular", "l
 
 def register(spark: SparkSession) -> None:
     """Makes the formats xlsx_wide and sav_wide known to the session."""
+    ship(spark)
     spark.dataSource.register(WideSpreadsheet)
     spark.dataSource.register(SavWide)
 
