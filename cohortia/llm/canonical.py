@@ -75,12 +75,15 @@ class Reference:
         self.by_letter: dict[str, list[str]] = defaultdict(list)
         for w in self.of_word:
             self.by_letter[w[:1]].append(w)
+        self.longest = max(map(len, self.of_word), default=0)
         self._near: dict[str, dict[str, float]] = {}
 
     def near(self, word: str) -> dict[str, float]:
         """Reference words that the typed word may mean, with the cost between 0 and 1."""
         if word in self._near:
             return self._near[word]
+        if len(word) > self.longest + 3:  # beyond the bound of any reference word
+            return {}
         out: dict[str, float] = {}
         for x in deletions(word, bound(word)):
             for w in self.deleted.get(x, ()):
@@ -101,6 +104,8 @@ class Reference:
     @staticmethod
     def _apart(word: str, other: str) -> float:
         longest = max(len(word), len(other))
+        if 2 * min(len(word), len(other)) < longest and len(word) > len(other):
+            return 1.0
         return 0.25 if abbreviates(word[:-1], other) and len(word) > 3 else weighted_distance(word, other, 0.5 * longest) / longest
 
     def cost(self, typed: list[str], near: list[dict[str, float]], n: int) -> float:

@@ -23,8 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortia.llm.tokens import VOCABULARY, count_tokens, spread
-from cohortia.session import cut
+from cohortia.llm.tokens import VOCABULARY, count_tokens
+from cohortia.session import cut, spread
 
 BUCKET_BITS, BLOCKS = 12, 4096
 

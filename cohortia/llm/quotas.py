@@ -3,7 +3,7 @@
 One pass over the active members fills reservoirs, one per panel and combination of categories (cell): the members of lowest
 hash, at most the panel's sample size, with a count of all. They are mergeable: each task keeps its own over its rows, and the
 lowest of the union are those of the whole. Only then, with the final counts, are quotas set: raking fits the cells to the targets of
-all dimensions within what the cells hold, whole numbers follow by largest remainders, and minima are repaired by moving single places.
+all dimensions within what the cells hold, whole numbers follow by largest remainders and moves of single places, and minima are repaired by moving single places.
 The reservoirs are trimmed to the quotas by hash, which is uniform within a cell.
 
 Skew: a panel or a cell of any size gives each task at most sample-size rows per cell. Quotas are set over the cells of one panel, of which there
@@ -131,6 +131,18 @@ def allocate(counts: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray
     while (short := n - out.sum()) > 0:
         open_ = order[out[order] < counts[order]]
         out[open_[:short]] += 1
+    for _ in range(200):  # rounding leaves small deviations; single places move while that lessens them
+        gaps = [np.bincount(k, out, len(g)) - g for k, g in zip(codes, wanted)]
+        over = sum(gap[k] for gap, k in zip(gaps, codes))
+        gives, takes = np.flatnonzero(out > 0), np.flatnonzero(out < counts)
+        if not len(gives) or not len(takes):
+            break
+        moved = out.copy()
+        moved[gives[np.argmax(over[gives])]] -= 1
+        moved[takes[np.argmin(over[takes])]] += 1
+        if sum(np.abs(np.bincount(k, moved, len(g)) - g).sum() for k, g in zip(codes, wanted)) >= sum(np.abs(gap).sum() for gap in gaps) - 1e-9:
+            break
+        out = moved
     # minima: single places move to a cell of the category from the cell whose categories are furthest above their goals
     for d, least in enumerate(minima):
         have = np.bincount(codes[d], counts, len(least))

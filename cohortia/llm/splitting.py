@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cohortia.llm.tokens import VOCABULARY, Vocabulary, _parts, _quoted, pieces, vocabulary
+from cohortia.llm.tokens import VOCABULARY, Vocabulary, _parts, arrow_mapped, pieces, vocabulary
 from cohortia.session import ship
 
 LIMIT, OVERLAP = 512, 64
@@ -219,4 +219,4 @@ def split_texts(
                 columns += [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
 
-    return df.select(*[_quoted(c) for c in kept], _quoted(text)).mapInArrow(run, schema)
+    return arrow_mapped(df, [*kept, text], run, schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cohortia.session import ship, spread
+from cohortia.session import ship
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
@@ -256,7 +256,7 @@ def encode_texts(df: DataFrame, text: str = "text", path: str = VOCABULARY, ids:
                 columns.append(pa.ListArray.from_arrays(at, pa.array(words.byte_ends(flat, bounds).astype(np.int32))))
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
 
-    return df.select(*[_quoted(c) for c in kept], _quoted(text)).mapInArrow(run, schema)
+    return arrow_mapped(df, [*kept, text], run, schema)
 
 
 def count_tokens(df: DataFrame, text: str = "text", path: str = VOCABULARY, out: str = "n_tokens") -> DataFrame:
@@ -271,7 +271,7 @@ def count_tokens(df: DataFrame, text: str = "text", path: str = VOCABULARY, out:
             _, bounds = words.encode([t or "" for t in batch.column(len(kept)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), pa.array(np.diff(bounds))], names=[*kept, out])
 
-    return df.select(*[_quoted(c) for c in kept], _quoted(text)).mapInArrow(run, schema)
+    return arrow_mapped(df, [*kept, text], run, schema)
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", path: str = VOCABULARY, out: str = "text") -> DataFrame:
@@ -286,11 +286,16 @@ def decode_ids(df: DataFrame, ids: str = "ids", path: str = VOCABULARY, out: str
             texts = [None if x is None else words.decode(x) for x in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), pa.array(texts, pa.string())], names=[*kept, out])
 
-    return df.select(*[_quoted(c) for c in kept], _quoted(ids)).mapInArrow(run, schema)
+    return arrow_mapped(df, [*kept, ids], run, schema)
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+def arrow_mapped(df: DataFrame, columns: list[str], run, schema: T.StructType) -> DataFrame:
+    """The columns of df through run, which sees and yields them by place; names may hold any characters."""
+    quoted = ["`" + c.replace("`", "``") + "`" for c in columns]
+    plain = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(schema)])
 
+    def named(batches):
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=plain.names)
 
-__all__ = ["VOCABULARY", "Vocabulary", "count_tokens", "decode_ids", "encode_texts", "pieces", "spread", "vocabulary"]
+    return df.select(*quoted).toDF(*(f"c{k}" for k in range(len(columns)))).mapInArrow(named, plain).toDF(*schema.names)
