@@ -116,9 +116,16 @@ def best_evidence(pool: DataFrame, person: str, order: list[Column], most: int =
 def judged(answers: DataFrame, criteria: list[SemanticCriterion], text: str) -> DataFrame:
     """answers once per criterion with criterio (place), veredicto and relevancia by the lexical providers; each distinct text is judged once."""
     found = answers.filter(F.trim(text) != "").withColumn("hash", F.sha2(text, 256))
-    distinct = found.groupBy("hash").agg(F.min(text).alias("__t"))
-    entries = [F.struct(F.lit(k).alias("criterio"), polarity.verdict(c.text, F.col("__t")).alias("veredicto"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), polarity.score(c.text, F.col("__t")))).alias("relevancia")) for k, c in enumerate(criteria)]
-    return found.join(distinct.select("hash", F.explode(F.array(*entries)).alias("x")).select("hash", "x.*"), "hash")
+    distinct = polarity.read(found.groupBy("hash").agg(F.min(text).alias("__t")), "__t")
+    plain, words, sign = F.col("__plano"), F.col("__palabras"), F.col("__signo")
+    signed = distinct.withColumn("__signo", polarity.sign(plain, words))
+    entries = [
+        F.struct(
+            F.lit(k).alias("criterio"), polarity.verdict(c.text, sign, words).alias("veredicto"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), polarity.score(c.text, sign, words))).alias("relevancia")
+        )
+        for k, c in enumerate(criteria)
+    ]
+    return found.join(signed.select("hash", F.explode(F.array(*entries)).alias("x")).select("hash", "x.*"), "hash")
 
 
 def findings(verdicts: DataFrame, person: str, answer: str) -> DataFrame:

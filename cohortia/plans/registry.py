@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cohortia.plans import answers, panel, training
+from cohortia.plans import answers, panel, training, upkeep
 
-_MODULES = [training, panel, answers]
+_MODULES = [training, panel, answers, upkeep]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}

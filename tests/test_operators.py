@@ -154,7 +154,7 @@ def test_semantic_query_over_five_people(spark):
 
 def test_polarity(spark):
     texts = [("no me gusta", -1), ("me gusta", 1), ("nadaba en el rio", 0), ("TODOS LOS DÍAS", 1), ("", 0)]
-    got = spark.createDataFrame(texts, "t string, s int").select(polarity.sign(F.col("t")), "s").collect()
+    got = polarity.read(spark.createDataFrame(texts, "t string, s int"), "t").select(polarity.sign(F.col("__plano"), F.col("__palabras")), "s").collect()
     assert all(a == b for a, b in got)
     assert [polarity.sign_of(t) for t, _ in texts] == [s for _, s in texts]
 
