@@ -16,6 +16,12 @@ PATTERNS = [
     ("cedula", r"(?<![\d.])\d\.?\d{3}\.?\d{3}[-\s]?\d(?!\d)"),
     ("telefono", r"(?<![\d.])(?:\+?598[\s.-]?)?(?:0?9\d|[24]\d)[\s.-]?\d{3}[\s.-]?\d{3}(?!\d)"),
 ]
+# Labels of the two options of questions with a mark, folded.
+PAIRS = [
+    ("checked", "unchecked"), ("yes", "no"), ("si", "no"), ("selected", "not selected"), ("seleccionado", "no seleccionado"),
+    ("seleccionada", "no seleccionada"), ("marcado", "no marcado"), ("marcada", "no marcada"), ("mentioned", "not mentioned"),
+    ("mencionado", "no mencionado"), ("mencionada", "no mencionada"), ("true", "false"), ("verdadero", "falso"),
+]
 # Names of fields that hold personal data.
 PERSONAL_FIELDS = {"nombre", "apellido", "documento", "cedula", "email", "celular", "telefono", "direccion", "fecha_nacimiento"}
 
@@ -116,3 +122,19 @@ def cleaned_question(text: str):
     out = F.regexp_replace(out, r"^\s*(?:[A-Za-z]?\d+[.)\-:]\s*)+", "")
     out = F.regexp_replace(out, r"([?!.])\1+", "$1")
     return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def marked_pairs(questions: DataFrame, distribution: DataFrame) -> DataFrame:
+    """(codigo, marcado, no_marcado) of questions with two options of which one is a mark: by their labels, or 1 and 0 with labels
+    that say nothing or none at all. questions: codigo, opciones (labels by code); distribution: codigo, valor."""
+    seen = distribution.groupBy("codigo").agg(F.collect_set(F.when(F.col("valor").isin("0", "1"), F.col("valor"))).alias("unos"), F.count_if(~F.col("valor").isin("0", "1")).alias("otros"))
+    entries = F.transform(F.map_entries("opciones"), lambda e: F.struct(e["key"].alias("codigo"), fold(e["value"]).alias("etiqueta")))
+    out = questions.withColumn("e", entries).join(seen, "codigo", "left")
+    first = lambda label: F.get(F.filter("e", lambda x: x["etiqueta"] == label), F.lit(0))["codigo"]
+    two = F.size("e") == 2
+    found = [F.when(two & first(yes).isNotNull() & first(no).isNotNull(), F.struct(first(yes).alias("marcado"), first(no).alias("no_marcado"))) for yes, no in PAIRS]
+    codes = F.sort_array(F.transform("e", lambda x: x["codigo"])) == F.array(F.lit("0"), F.lit("1"))
+    silent = two & codes & F.forall("e", lambda x: (x["etiqueta"] == "") | (x["etiqueta"] == x["codigo"]))
+    bare = (F.size("e") == 0) & (F.size("unos") > 0) & (F.col("otros") == 0)
+    plain = F.when(silent | bare, F.struct(F.lit("1").alias("marcado"), F.lit("0").alias("no_marcado")))
+    return out.withColumn("x", F.coalesce(*found, plain)).filter("x is not null").select("codigo", "x.*")

@@ -43,11 +43,12 @@ def quotas(missing: DataFrame, size: int) -> DataFrame:
     return missing.filter("faltan > 0").withColumn("cupo", F.bround(size * F.col("faltan") / total).cast("long")).select("categoria", "faltan", "cupo")
 
 
-def by_quota(eligible: DataFrame, quota: DataFrame, key: str) -> DataFrame:
-    """The first of each category up to its quota, least called first: recientes, totales, most answers, key. With `orden` in the category."""
+def by_quota(eligible: DataFrame, quota: DataFrame, key: str, size: int) -> DataFrame:
+    """The first of each category up to its quota, least called first: recientes, totales, most answers, key. With `orden` in the category.
+    No quota exceeds the size of the sample, so the first `size` of a category are kept before any exchange."""
     order = Window.partitionBy("categoria").orderBy("recientes", "totales", F.desc("respondidas"), key)
     small = F.broadcast(quota.select("categoria", "cupo"))  # a row per category
-    return eligible.join(small, "categoria").withColumn("orden", F.row_number().over(order)).filter("orden <= cupo").drop("cupo")
+    return eligible.join(small, "categoria").withColumn("orden", F.row_number().over(order)).filter(F.col("orden") <= size).filter("orden <= cupo").drop("cupo")
 
 
 def optimised(eligible: DataFrame, targets: DataFrame, size: int, key: str, weights: Weights = Weights(), cap: int = 3) -> DataFrame:
@@ -65,7 +66,7 @@ def optimised(eligible: DataFrame, targets: DataFrame, size: int, key: str, weig
     tie = [F.asc("recientes"), F.asc("totales"), F.desc("respondidas"), F.desc(key)]
     costed = eligible.withColumn("costo", F.round(cost, 12)).join(F.broadcast(targets.select("categoria", "meta")), "categoria")
     within = Window.partitionBy("categoria").orderBy("costo", *tie)
-    ranked = costed.withColumn("k", F.row_number().over(within)).filter(F.col("k") <= F.least("meta", F.lit(size)))
+    ranked = costed.withColumn("k", F.row_number().over(within)).filter(F.col("k") <= size).filter(F.col("k") <= F.col("meta"))
     deficit = F.col("meta") - F.col("k") + 1
     scored = ranked.withColumn("puntaje", F.round(weights.balance * (2 * deficit - 1) / F.lit(max(1, size)) - F.col("costo"), 12))
     return scored.orderBy(F.desc("puntaje"), *tie).limit(size).select(key, "categoria", "k", "puntaje")

@@ -43,7 +43,7 @@ def speeder_flags(spark, d):
     return table(spark, d, "events", "event_id", "value").select("event_id", quality.speeder(F.col("value"), 5).alias("rapido"))
 
 
-@query("""with h as (select id_persona, sha256(array_to_string(list_sort(list(md5(text))), '')) as huella from documents where text is not null and id_persona is not null group by 1)
+@query("""with h as (select id_persona, concat_ws('-', count(*), sum(('0x' || substr(md5(text), 1, 12))::bigint), sum(('0x' || substr(md5(text), 13, 12))::bigint)) as huella from documents where text is not null and id_persona is not null group by 1)
 select huella, count(*) as personas, min(id_persona) as primera from h group by 1 having count(*) > 1""")
 def duplicate_content_groups(spark, d):
     return quality.same_content(roles.answers(spark, d).filter("id_persona is not null"), "id_persona", "text")
@@ -589,10 +589,11 @@ def survey_list_counts(spark, d):
 
 @query("""with p as (select doc_id, source, count(*) over (partition by source) as total, row_number() over (partition by source order by creado_en desc nulls last, doc_id)::int as lugar from documents where text ilike '%precio%') select * from p where lugar between 11 and 20""")
 def answers_page_with_total(spark, d):
-    w = Window.partitionBy("source")
     found = roles.answers(spark, d).filter(F.col("text").ilike("%precio%"))
-    placed = found.select("doc_id", "source", F.count(F.lit(1)).over(w).alias("total"), F.row_number().over(w.orderBy(F.desc_nulls_last("creado_en"), "doc_id")).alias("lugar"))
-    return placed.filter("lugar between 11 and 20")
+    totals = found.groupBy("source").agg(F.count(F.lit(1)).alias("total"))
+    placed = found.select("doc_id", "source", F.row_number().over(Window.partitionBy("source").orderBy(F.desc_nulls_last("creado_en"), "doc_id")).alias("lugar"))
+    page = placed.filter("lugar <= 20").filter("lugar >= 11")  # the limit is applied before the exchange
+    return page.join(totals, page["source"].eqNullSafe(totals["source"])).select("doc_id", page["source"], "total", "lugar")
 
 
 QUERIES, SQL = Q, S

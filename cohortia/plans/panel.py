@@ -277,7 +277,7 @@ def _quota(spark, d):
 select persona, categoria, orden from o where orden <= cupo""")
 def quota_rule_sample(spark, d):
     eligible = _candidates(spark, d).filter("motivo is null")
-    return sampling.by_quota(eligible, _quota(spark, d), "persona").select("persona", "categoria", "orden")
+    return sampling.by_quota(eligible, _quota(spark, d), "persona", 40).select("persona", "categoria", "orden")
 
 
 _OPT = f"""{_CAND}, meta as (select categoria, 12 as meta from cand group by 1), m as (select avg(totales) as media from eleg),

@@ -215,3 +215,15 @@ def test_topics(spark):
     facts = spark.createDataFrame([("a", "t1", "x"), ("a", "t2", "x"), ("b", "t1", "x")], "p string, tema string, area string")
     assert {(r["tema"], r["personas"]) for r in topics.counts_by_topic_and_area(facts, "p").collect()} == {("t1", 2), ("t2", 1), (None, 2)}
     assert rows(topics.unused(spark.createDataFrame([("t1",), ("t9",)], "tema string"), facts)) == [("t9",)]
+
+
+def test_marked_pairs(spark):
+    questions = spark.createDataFrame([("a", {"1": "Sí", "2": "No"}), ("b", {"0": "", "1": "1"}), ("c", {}), ("d", {}), ("e", {"1": "Sí", "2": "No", "3": "?"}), ("f", {"1": "rojo", "2": "azul"})], "codigo string, opciones map<string,string>")
+    values = spark.createDataFrame([("a", "1"), ("c", "0"), ("c", "1"), ("d", "1"), ("d", "7")], "codigo string, valor string")
+    assert rows(profiling.marked_pairs(questions, values)) == [("a", "1", "2"), ("b", "1", "0"), ("c", "1", "0")]
+
+
+def test_question_texts(spark):
+    texts = ["P3. ¿Qué usa?? (Marque una respuesta)", "¿Qué usa?", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(profiling.cleaned_question(F.col("t"))).collect()]
+    assert got == ["¿Qué usa?", "¿Qué usa?", None]
