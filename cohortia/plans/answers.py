@@ -378,7 +378,7 @@ def unpivot_answers(spark, d):
  y as (select *, case when valor is null or valor = '' then 'vacia' when lower(e) in ('ns', 'nc') or (codigo = 'sexo' and valor in ('98', '99')) then 'no_respuesta' end as motivo from x)
 select id_persona, codigo, motivo, case when motivo is null then sha256(case codigo when 'sexo' then '¿Cuál es su sexo?' else codigo end || ' → ' || e) end as hash from y""")
 def answer_texts(spark, d):
-    questions = spark.range(1).select(F.lit("sexo").alias("codigo"), F.lit("¿Cuál es su sexo?").alias("pregunta"), F.create_map(F.lit("F"), F.lit("Femenino"), F.lit("M"), F.lit("Masculino")).alias("opciones"))
+    questions = spark.createDataFrame([("sexo", "¿Cuál es su sexo?", {"F": "Femenino", "M": "Masculino"})], "codigo string, pregunta string, opciones map<string,string>")
     return ingest.answer_texts(_cells(spark, d), questions).select("id_persona", "codigo", "motivo", "hash")
 
 
