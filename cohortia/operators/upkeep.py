@@ -61,7 +61,7 @@ def calibration(batches: DataFrame, order: Column, tokens: str, units: str, last
     """(lotes, por_unidad): tokens per unit over the last batches; null if they are too few."""
     recent = batches.orderBy(order).limit(last)
     n = F.count(F.lit(1))
-    return recent.agg(n.alias("lotes"), F.when(n >= least, F.round(F.sum(tokens) / F.nullif(F.sum(units), F.lit(0)), 4)).alias("por_unidad"))
+    return recent.agg(n.alias("lotes"), F.when(n >= least, F.round(F.round(F.sum(tokens), 4) / F.nullif(F.sum(units), F.lit(0)), 6)).alias("por_unidad"))
 
 
 def recognised(rows: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ def composition_gap(spark, d):
     return g.withColumn("faltan", F.coalesce("faltan", F.lit(0))).withColumn("sobran", F.when(F.col("esperados").isNull(), 0).otherwise(F.col("sobran")))
 
 
-@query(_GAP + " select panel_id, dimension, round(sum(abs(coalesce(brecha, 0))) / 2, 4) as disimilitud from r group by all")
+@query(_GAP + " select panel_id, dimension, ((sum(round(abs(coalesce(brecha, 0)) * 10000)::bigint)::bigint + 1) // 2) / 10000 as disimilitud from r group by all")
 def composition_dissimilarity(spark, d):
     return composition.dissimilarity(_gap(spark, d), ["panel_id"])
 

@@ -74,7 +74,7 @@ def job_progress(spark, d):
     return upkeep.progress(batches, "user_id", "event_type", "value", "ts", ["error", "purchase"])
 
 
-@query("""with r as (select * from events where event_type <> 'error' order by ts desc, event_id desc limit 200) select count(*) as lotes, case when count(*) >= 3 then round(sum(value) / count(distinct event_id), 4) end as por_unidad from r""")
+@query("""with r as (select * from events where event_type <> 'error' order by ts desc, event_id desc limit 200) select count(*) as lotes, case when count(*) >= 3 then round(round(sum(value), 4) / count(distinct event_id), 6) end as por_unidad from r""")
 def token_calibration(spark, d):
     ok = table(spark, d, "events", "event_id", "event_type", "value", "ts").filter("event_type <> 'error'").withColumn("u", F.lit(1))
     return upkeep.calibration(ok, F.desc(F.struct("ts", "event_id")), "value", "u")
