@@ -10,8 +10,11 @@
    and documents; differing documents, and birth dates that no slip explains, contradict.
 4. Each record goes to the best person; records without one are grouped among themselves by the smallest key along links.
 
-Exact copies of a registration or review are represented by the first of them; a mail, phone or document that more than SHARED records hold identifies nobody and counts as not given. No key is a name word or a date alone
-except for records whose name has a single full word, so a frequent name or date doesn't make a heavy group.
+Exact copies of a registration or review are represented by the first of them. A mail, phone or document that more than SHARED records
+hold is a key only together with two words, with the word of a name of one, or with a birth date up to a slip, which are all the pairs that
+verification takes. If more than one person is among its holders, it counts in verification, but outweighs no contradiction, and a
+different one is none. No key is a name word or a date alone except for records whose name has a single full word, so a frequent name or
+date doesn't make a heavy group.
 
 Defined results: records with null or wordless names link by nothing; names of more than MOST_WORDS full words, which are no names of
 persons, link by mail, phone, document or suggestion only; repeated rows count once; two rows of the same key aren't a pair.
@@ -193,19 +196,32 @@ def compare_dates(a: date | None, b: date | None) -> str:
     return "cerca" if near else "flojo" if loose else "lejos"
 
 
+def near_dates(d: date) -> set[tuple]:
+    """Keys of which two dates share one if they are equal or one slip explains their difference, as compare_dates has it."""
+    x, n, year, day = d.strftime("%Y%m%d"), d.toordinal() // 11, d.year, d.strftime("%m%d")
+    out: set[tuple] = {("cifra", i, x[:i] + "_" + x[i + 1 :]) for i in range(8)}
+    out |= {("trueque", i, x[:i] + "".join(sorted(x[i : i + 2])) + x[i + 2 :]) for i in range(7)}
+    out |= {("vuelta", year, min(d.month, d.day), max(d.month, d.day)), ("dias", n), ("dias", n + 1)}
+    return out | {("años", step, y, day) for step in (1, 10) for y in (year, year + step)}
+
+
 def judge(a: dict, b: dict) -> float | None:
     """Score of two records as one person; None if they aren't taken for one."""
     full, initials, left, cost = compare_names(a["words"], b["words"])
-    given = lambda f: "falta" if not a[f] or not b[f] else "igual" if a[f] == b[f] else "otro"
+    common = a["comunes"] | b["comunes"]
+    given = lambda f: "falta" if not a[f] or not b[f] else "igual" if a[f] == b[f] else "falta" if f in common else "otro"
     mail, phone, paper, birth = given("email"), given("celular"), given("documento"), compare_dates(a["fecha"], b["fecha"])
     if paper == "otro":
         return None
     suggested = b["clave"][1:] in a["candidatos"] or a["clave"][1:] in b["candidatos"]
     sure = mail == "igual" or paper == "igual"
+    # what outweighs a contradiction: agreement in a value that isn't of several persons and many records
+    firm = mail == "igual" and "email" not in common or paper == "igual" and "documento" not in common
+    firm_phone = phone == "igual" and "celular" not in common
     dated = birth in ("igual", "cerca")
     if not full or full == 1 and not initials and min(len(a["words"][0]), len(b["words"][0])) > 1 and not (sure and dated):
         return None
-    if birth == "lejos" and not sure or birth == "flojo" and not sure and phone != "igual" or phone == "otro" and not sure and not (birth == "igual" and full >= 3 and not left):
+    if birth == "lejos" and not firm or birth == "flojo" and not firm and not firm_phone or phone == "otro" and not firm and not (birth == "igual" and full >= 3 and not left):
         return None
     complete = not left
     accepted = (
@@ -247,11 +263,15 @@ def normalised(records: DataFrame) -> DataFrame:
     ).dropDuplicates(["clave"])
 
 
-def _without_shared(records: DataFrame, field: str) -> DataFrame:
-    """records with the field null where more than SHARED records hold its value."""
-    shared = records.filter(F.col(field).isNotNull()).groupBy(field).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARED).select(field, F.lit(True).alias("mucho"))
-    joined = records.join(_small(shared), field, "left")
-    return joined.withColumn(field, F.when(F.col("mucho").isNull(), F.col(field))).drop("mucho")
+def _marked(records: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """records with `frecuentes`, the fields whose value more than SHARED records hold, and `comunes`, those where several persons are among them."""
+    for field in fields:
+        held = records.filter(F.col(field).isNotNull()).groupBy(field).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("clave").startswith("p")).alias("personas"))
+        held = held.filter(F.col("n") > SHARED).select(field, (F.col("personas") > 1).alias(f"varias_{field}"))
+        records = records.join(_small(held), field, "left")
+    often = F.array_compact(F.array(*(F.when(F.col(f"varias_{f}").isNotNull(), f) for f in fields)))
+    common = F.array_compact(F.array(*(F.when(F.col(f"varias_{f}"), f) for f in fields)))
+    return records.withColumns({"frecuentes": often, "comunes": common}).drop(*(f"varias_{f}" for f in fields))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -277,16 +297,15 @@ def links(records: DataFrame) -> DataFrame:
     copied = cut(copied.select("perfil", "primera"))
     copies = whole.join(_small(copied), "perfil").filter("not clave like 'p%'").select("clave", "primera", "nombre", "fecha", "celular", "email", "documento")
     data = whole.join(_small(copies.filter("clave <> primera").select("clave")), "clave", "left_anti").drop("perfil")
-    for field in ("celular", "email", "documento"):
-        data = _without_shared(data, field)
+    data = _marked(data, ("celular", "email", "documento"))
 
     def read(batches):
         for pdf in batches:
             found = [words_of(n) for n in pdf["nombre"]]
             yield pdf.drop(columns="nombre").assign(palabras=[x[0] for x in found], iniciales=[x[1] for x in found], rid=[_key(c) for c in pdf["clave"]])
 
-    shape = "clave string, fecha date, celular string, email string, documento string, candidatos array<string>, palabras array<string>, iniciales array<string>, rid long"
-    data = cut(spread(data.select(*RECORD), "clave").mapInPandas(read, shape).filter("size(palabras) > 0"))
+    shape = "clave string, fecha date, celular string, email string, documento string, candidatos array<string>, frecuentes array<string>, comunes array<string>, palabras array<string>, iniciales array<string>, rid long"
+    data = cut(spread(data.select(*RECORD, "frecuentes", "comunes"), "clave").mapInPandas(read, shape).filter("size(palabras) > 0"))
 
     words = data.select("rid", F.explode("palabras").alias("palabra"))
     vocabulary = words.groupBy("palabra").agg(F.count(F.lit(1)).alias("n"))
@@ -298,12 +317,19 @@ def links(records: DataFrame) -> DataFrame:
     def keys(batches):
         for pdf in batches:
             rows = []
-            for rid, clave, fecha, phone, mail, paper, candidates, own, more in zip(*(pdf[c] for c in ("rid", "clave", "fecha", "celular", "email", "documento", "candidatos", "palabras", "lecturas"))):
+            for rid, clave, fecha, phone, mail, paper, candidates, often, own, more in zip(*(pdf[c] for c in ("rid", "clave", "fecha", "celular", "email", "documento", "candidatos", "frecuentes", "palabras", "lecturas"))):
                 person = clave[0] == "p"
                 more = dict(more) if more is not None else {}
                 sets = [[w, *sorted(more.get(w, ()))] for w in sorted(own)]
-                out = {_key(kind, v) for kind, v in (("c", phone), ("e", mail), ("d", paper)) if v}
+                given = [(f, v) for f, v in (("celular", phone), ("email", mail), ("documento", paper)) if v]
+                out = {_key(f, v) for f, v in given if f not in often}
+                heavy = [x for x in given if x[0] in often]
                 rows += [(_key("x", c), rid, clave[0], 4, len(own)) for c in ([clave[1:]] if person else candidates)]
+                for f, v in heavy:
+                    if fecha is not None and fecha == fecha:
+                        out |= {_key(f, v, *x) for x in near_dates(fecha)}
+                    out |= {_key(f, v, *sorted(p)) for s, t in combinations(sets, 2) for p in _products(s, t)}
+                    rows += [(_key(f, v, "palabra", w), rid, clave[0], 1, len(own)) for w in {w for s in sets for w in s}]
                 if len(sets) > MOST_WORDS:
                     sets = []
                 pairs = {tuple(sorted(p)) for s, t in combinations(sets, 2) for p in _products(s, t)}
@@ -322,12 +348,15 @@ def links(records: DataFrame) -> DataFrame:
                 rows += [(_key("n", kind, *p), rid, clave[0], 3, len(own)) for p in triples for kind in kinds]
             yield pd.DataFrame(rows, columns=["k", "rid", "de", "clase", "n"])
 
-    keyed = full.select("rid", "clave", "fecha", "celular", "email", "documento", "candidatos", "palabras", "lecturas").mapInPandas(keys, "k long, rid long, de string, clase int, n int")
+    keyed = full.select("rid", "clave", "fecha", "celular", "email", "documento", "candidatos", "frecuentes", "palabras", "lecturas").mapInPandas(keys, "k long, rid long, de string, clase int, n int")
     keyed = cut(keyed)
     by_key = keyed.filter("clase < 3")
     left = by_key.filter("de <> 'p' and (clase = 2 or n = 1)").select("k", F.col("rid").alias("a"))
     right = by_key.select("k", F.col("rid").alias("b"), "de")
-    pairs = left.join(right, "k").filter("de = 'p' and a <> b or a < b or (de <> 'p' and a > b)")
+    # a single word meets longer names from either side
+    single = by_key.filter("clase = 1 and de = 'p' and n = 1").select("k", F.col("rid").alias("b"), "de")
+    longer = by_key.filter("clase = 1 and de <> 'p' and n > 1").select("k", F.col("rid").alias("a"))
+    pairs = left.join(right, "k").unionByName(longer.join(single, "k")).filter("de = 'p' and a <> b or a < b or (de <> 'p' and a > b)")
     pairs = pairs.select(F.when((F.col("de") == "p") | (F.col("a") < F.col("b")), F.col("a")).otherwise(F.col("b")).alias("a"), F.when((F.col("de") == "p") | (F.col("a") < F.col("b")), F.col("b")).otherwise(F.col("a")).alias("b"), F.lit(False).alias("unico"))
     pairs = pairs.filter("a <> b")
     suggested = keyed.filter("clase = 4 and de <> 'p'").select("k", F.col("rid").alias("a")).join(keyed.filter("clase = 4 and de = 'p'").select("k", F.col("rid").alias("b")), "k")
@@ -337,7 +366,7 @@ def links(records: DataFrame) -> DataFrame:
     by_name = keyed.filter("clase = 3 and de <> 'p'").select("k", F.col("rid").alias("a")).join(alone, "k").select("a", "b", F.lit(True).alias("unico"))
     pairs = pairs.unionByName(by_name).groupBy("a", "b").agg(F.max("unico").alias("unico"))
 
-    fields = ["clave", "fecha", "celular", "email", "documento", "candidatos", "palabras", "iniciales"]
+    fields = ["clave", "fecha", "celular", "email", "documento", "candidatos", "comunes", "palabras", "iniciales"]
     side = lambda s: data.select(F.col("rid").alias(s), F.struct(*fields).alias(f"r{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("unico", "ra", "rb")
 
@@ -357,7 +386,7 @@ def links(records: DataFrame) -> DataFrame:
         for pdf in batches:
             kept = []
             for name, when, phone, mail, paper in zip(*(pdf[c] for c in ("nombre", "fecha", "celular", "email", "documento"))):
-                row = {"clave": "i", "fecha": when if when == when else None, "celular": phone, "email": mail, "documento": paper, "candidatos": set(), "words": words_of(name), "unico": False}
+                row = {"clave": "i", "fecha": when if when == when else None, "celular": phone, "email": mail, "documento": paper, "candidatos": set(), "comunes": set(), "words": words_of(name), "unico": False}
                 kept.append(bool(row["words"][0]) and judge(row, row) is not None)
             yield pdf.loc[kept, ["clave", "primera"]]
 
@@ -383,7 +412,7 @@ def _record(row: dict, unique: bool) -> dict:
     when = row["fecha"]
     return {
         "clave": row["clave"], "fecha": None if when is None or when != when else when, "celular": row["celular"], "email": row["email"], "documento": row["documento"],
-        "candidatos": set(row["candidatos"]), "words": (list(row["palabras"]), list(row["iniciales"])), "unico": unique,
+        "candidatos": set(row["candidatos"]), "comunes": set(row["comunes"]), "words": (list(row["palabras"]), list(row["iniciales"])), "unico": unique,
     }
 
 

@@ -95,6 +95,35 @@ def test_shared_identifiers_do_not_link(spark):
     assert linked(spark, rows + [("i1", "Persona Apellidoq", date(2001, 2, 3), "055500000000", "a@a.a", None, [])]) == []
 
 
+def test_frequent_identifiers_still_link_with_a_name(spark):
+    mail, phone = "k@k.k", "055500000000"
+    several = [(f"p{k}", f"Otra{'bcdfgh'[k % 6] * 4}{'klmnp'[k % 5] * 4} Gente{'rstvw'[k % 5] * 4}{'bcdfgh'[k // 5 % 6] * 3}", date(1930 + k % 70, 1 + k % 12, 1 + k % 28), phone, mail, None, None) for k in range(v.SHARED + 30)]
+    rows = [
+        ("pZ", "Zulma Torrendo Paz", date(1999, 9, 9), phone, mail, None, None),
+        ("i1", "Zulma Torrendo", None, phone, None, None, []),
+        ("i2", "Z. Torrendo", None, None, mail, None, []),
+        ("i3", "Zulma Torrendo", date(1999, 9, 8), None, mail, None, []),
+        ("i5", "Zulma Torrendo", date(1999, 9, 9), "055599998888", None, None, []),
+    ]
+    groups = {r["clave"]: r["persona"] for r in v.links(spark.createDataFrame(several + rows, RECORDS)).collect()}
+    assert {k: p for k, p in groups.items() if p == "pZ"} == dict.fromkeys(["i1", "i2", "i3", "i5"], "pZ")
+    # the records of one person: its document is firm however many they are, and another one contradicts
+    own = [(f"i{k}", f"Zulma Torrendo{'' if k % 2 else ' Paz'}", date(1900 + k % 100, 1 + k % 12, 1 + k % 28), f"0555{k:08d}", None, "D1", []) for k in range(v.SHARED + 30)]
+    person = [("pZ", "Zulma Torrendo Paz", date(1999, 9, 9), None, None, "D1", None)]
+    other = [("pY", "Zulma Torrendo", date(1999, 9, 9), None, None, "D2", None), ("i900", "Zulma Torrendo", date(1999, 9, 9), None, None, "D2", [])]
+    groups = {r["clave"]: r["persona"] for r in v.links(spark.createDataFrame(own + person + other, RECORDS)).collect()}
+    assert groups == {**{r[0]: "pZ" for r in own}, "i900": "pY"}
+
+
+def test_near_dates_cover_slips():
+    rnd = random.Random(5)
+    for _ in range(3000):
+        a = date(1950 + rnd.randrange(60), rnd.randint(1, 12), rnd.randint(1, 28))
+        for b in (date.fromordinal(a.toordinal() + rnd.randint(-12, 12)), date(a.year + rnd.choice([-10, -1, 1, 10]), a.month, a.day), date(rnd.choice([a.year, a.year + 3]), rnd.randint(1, 12), rnd.randint(1, 28))):
+            if v.compare_dates(a, b) in ("igual", "cerca"):
+                assert v.near_dates(a) & v.near_dates(b)
+
+
 def test_copies_follow_their_first(spark):
     same = [(f"i{k}", "Zulma Torrendo Paz", date(1999, 9, 9), None, None, None, []) for k in range(300)]
     bare = [(f"r{k}", "Sin Datos Ningunos", None, None, None, None, []) for k in range(5)]
