@@ -3,7 +3,8 @@
 1. Words of names meet by a pigeonhole segment join over the vocabulary: a word of length L is cut into k + 1 segments; a word within k
    edits holds one of them unchanged, shifted by at most k, so that the segments stand in an inverted index and all shifted
    substrings are looked up in it; a banded edit distance verifies. A rare word gets those of at least RATIO times its frequency as
-   further readings; a short one also those it begins.
+   further readings; a short one also those it begins. A second join of the same kind, of words of any frequency, with the edits and
+   transpositions of verification, adds the pairs that no common reading brings together.
 2. Records become candidates if they agree in a key: mail, phone or document, birth date with two words (any readings), three words
    with birth dates that share two of year, month and day, a suggested candidate, or three words that only one person has.
 3. Candidates are verified by aligning all words (edit distance, nicknames, initials) together with birth dates, phones, mails
@@ -64,6 +65,22 @@ for _short, _name in NICKNAMES.items():
         _NICKNAMES_OF.setdefault(_name, []).append(_short)
 
 
+def _shorter(word: str) -> set[str]:
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+_NICKNAMES_BY: dict[str, set[str]] = {}
+for _short in NICKNAMES:
+    if len(_short) >= 4:
+        for _part in _shorter(_short):
+            _NICKNAMES_BY.setdefault(_part, set()).add(_short)
+
+
+def _near_nicknames(word: str) -> set[str]:
+    """Short forms that may be an edit away from the word."""
+    return set().union(*(_NICKNAMES_BY.get(x, ()) for x in _shorter(word))) if len(word) >= 4 else set()
+
+
 def words_of(name: str | None) -> tuple[list[str], list[str]]:
     """(full words, initials) of a name: folded, without particles and titles, nicknames as given names, each once."""
     full, initials = [], []
@@ -132,6 +149,63 @@ def readings(vocabulary: DataFrame) -> DataFrame:
     return near.groupBy("palabra").agg(F.collect_set("hacia").alias("lecturas"))
 
 
+def word_edits(length: int) -> int:
+    """Edits, adjacent transpositions among them, up to which word_cost takes words as one, by the length of the longer."""
+    return 0 if length < 3 else 1 if length < 6 else 2 if length < 9 else 3
+
+
+def slips(vocabulary: DataFrame, known: DataFrame) -> DataFrame:
+    """palabra, hacia: pairs that word_cost takes as one and whose readings in `known` don't meet, from the rarer word to the other.
+
+    A transposition over the edge of two segments counts for the left one, so the right one is also indexed with its first letter as
+    if transposed; of k + 1 segments one is then left unchanged by k edits.
+    """
+
+    def index(batches):
+        for pdf in batches:
+            rows = []
+            for w in pdf["palabra"]:
+                if k := word_edits(len(w)):
+                    for i, at, text in segments(w, k):
+                        rows += [(w, len(w), i, t) for t in ({text, w[at - 1] + text[1:]} if at else {text})]
+                rows += [(w, 0, 0, w[:size]) for size in range(3, len(w) - 1)]
+            yield pd.DataFrame(rows, columns=["b", "largo", "parte", "texto"])
+
+    def probe(batches):
+        for pdf in batches:
+            rows = []
+            for w in pdf["palabra"]:
+                found = {(0, 0, w)}
+                for length in range(max(3, len(w)), len(w) + 4):
+                    k = word_edits(length)
+                    if length - len(w) <= k:
+                        for i, at, text in segments("x" * length, k):
+                            found |= {(length, i, w[x : x + len(text)]) for x in range(max(0, at - k), min(len(w) - len(text), at + k) + 1)}
+                rows += [(w, *x) for x in found]
+            yield pd.DataFrame(rows, columns=["a", "largo", "parte", "texto"])
+
+    def misspelt(batches):
+        for pdf in batches:
+            rows = [(w, given) for w in pdf["palabra"] for nick in _near_nicknames(w) for given in [NICKNAMES[nick]] if given != w]
+            yield pd.DataFrame(rows, columns=["a", "b"])
+
+    def verify(batches):
+        for pdf in batches:
+            yield pdf[[word_cost(a, b) is not None for a, b in zip(pdf["a"], pdf["b"])]]
+
+    words = vocabulary.select("palabra")
+    met = words.mapInPandas(probe, "a string, largo int, parte int, texto string").join(words.mapInPandas(index, "b string, largo int, parte int, texto string"), ["largo", "parte", "texto"])
+    most = F.when(F.length("b") < 6, 2).when(F.length("b") < 9, 4).otherwise(6)
+    met = met.filter(F.col("a") != F.col("b")).filter((F.col("largo") == 0) | (F.levenshtein("a", "b") <= most)).select("a", "b")
+    met = met.unionByName(words.mapInPandas(misspelt, "a string, b string").join(words.withColumnRenamed("palabra", "b"), "b", "left_semi")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = met.mapInPandas(verify, "a string, b string")
+    meets = vocabulary.join(known, "palabra", "left").select("palabra", "n", F.array_append(F.coalesce("lecturas", F.array().cast("array<string>")), F.col("palabra")).alias("todas"))
+    side = lambda c: meets.select(F.col("palabra").alias(c), F.col("n").alias(f"n{c}"), F.col("todas").alias(f"todas{c}"))
+    apart = near.join(side("a"), "a").join(side("b"), "b").filter(~F.arrays_overlap("todasa", "todasb"))
+    rarer = F.col("na") <= F.col("nb")
+    return apart.select(F.when(rarer, F.col("a")).otherwise(F.col("b")).alias("palabra"), F.when(rarer, F.col("b")).otherwise(F.col("a")).alias("hacia"))
+
+
 # --- verification -------------------------------------------------------------------------------------------------
 
 
@@ -310,17 +384,22 @@ def links(records: DataFrame) -> DataFrame:
     words = data.select("rid", F.explode("palabras").alias("palabra"))
     vocabulary = words.groupBy("palabra").agg(F.count(F.lit(1)).alias("n"))
     others = cut(readings(spread(vocabulary, "palabra")))
-    read_as = words.join(_small(others), "palabra")  # misspelt words only
-    read_as = read_as.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("palabra", "lecturas"))).alias("lecturas"))
+    more = cut(slips(spread(vocabulary, "palabra"), others).groupBy("palabra").agg(F.collect_set("hacia").alias("cercanas")))
+    others = cut(others.join(more, "palabra", "full"))
+    read_as = words.join(_small(others), "palabra")  # words with readings only
+    entries = lambda c: F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("palabra", c)))).alias(c)
+    read_as = read_as.groupBy("rid").agg(entries("lecturas"), entries("cercanas"))
     full = data.join(read_as, "rid", "left")
 
     def keys(batches):
         for pdf in batches:
             rows = []
-            for rid, clave, fecha, phone, mail, paper, candidates, often, own, more in zip(*(pdf[c] for c in ("rid", "clave", "fecha", "celular", "email", "documento", "candidatos", "frecuentes", "palabras", "lecturas"))):
+            for rid, clave, fecha, phone, mail, paper, candidates, often, own, more, wide in zip(*(pdf[c] for c in ("rid", "clave", "fecha", "celular", "email", "documento", "candidatos", "frecuentes", "palabras", "lecturas", "cercanas"))):
                 person = clave[0] == "p"
                 more = dict(more) if more is not None else {}
-                sets = [[w, *sorted(more.get(w, ()))] for w in sorted(own)]
+                wide = dict(wide) if wide is not None else {}
+                named = [[w, *sorted(more.get(w, ()))] for w in sorted(own)]  # that a name is one person's alone is a matter of likely readings
+                sets = [[*x, *sorted(wide.get(x[0], ()))] for x in named]
                 given = [(f, v) for f, v in (("celular", phone), ("email", mail), ("documento", paper)) if v]
                 out = {_key(f, v) for f, v in given if f not in often}
                 heavy = [x for x in given if x[0] in often]
@@ -331,7 +410,7 @@ def links(records: DataFrame) -> DataFrame:
                     out |= {_key(f, v, *sorted(p)) for s, t in combinations(sets, 2) for p in _products(s, t)}
                     rows += [(_key(f, v, "palabra", w), rid, clave[0], 1, len(own)) for w in {w for s in sets for w in s}]
                 if len(sets) > MOST_WORDS:
-                    sets = []
+                    sets = named = []
                 pairs = {tuple(sorted(p)) for s, t in combinations(sets, 2) for p in _products(s, t)}
                 triples = {tuple(sorted(p)) for s in combinations(sets, 3) for p in _products(*s)}
                 if fecha is not None and fecha == fecha:
@@ -345,10 +424,10 @@ def links(records: DataFrame) -> DataFrame:
                     rows += [(_key("o", fecha, w), rid, clave[0], 1, len(own)) for s in sets for w in s]
                 # a dated record is alone with an undated person of its name, as dated persons meet it by date
                 kinds = (["todas"] if fecha is None or fecha != fecha or person else []) + (["sin fecha"] if (fecha is None or fecha != fecha) == person else [])
-                rows += [(_key("n", kind, *p), rid, clave[0], 3, len(own)) for p in triples for kind in kinds]
+                rows += [(_key("n", kind, *p), rid, clave[0], 3, len(own)) for p in {tuple(sorted(p)) for s in combinations(named, 3) for p in _products(*s)} for kind in kinds]
             yield pd.DataFrame(rows, columns=["k", "rid", "de", "clase", "n"])
 
-    keyed = full.select("rid", "clave", "fecha", "celular", "email", "documento", "candidatos", "frecuentes", "palabras", "lecturas").mapInPandas(keys, "k long, rid long, de string, clase int, n int")
+    keyed = full.select("rid", "clave", "fecha", "celular", "email", "documento", "candidatos", "frecuentes", "palabras", "lecturas", "cercanas").mapInPandas(keys, "k long, rid long, de string, clase int, n int")
     keyed = cut(keyed)
     by_key = keyed.filter("clase < 3")
     left = by_key.filter("de <> 'p' and (clase = 2 or n = 1)").select("k", F.col("rid").alias("a"))

@@ -124,6 +124,30 @@ def test_near_dates_cover_slips():
                 assert v.near_dates(a) & v.near_dates(b)
 
 
+def test_slips_equal_verifying_all_words(spark):
+    rnd = random.Random(3)
+    counts = {"panhca": 1, "francisca": 5, "juan": 9, "juna": 8, "maximi": 1, "maximiliano": 1, "lu": 2, "lua": 2}
+    for _ in range(250):
+        w = list(rnd.choice(["caldondero", "gorrastiz", "paz", "luna", "barron", "quiren", "ortigasco"]))
+        for _ in range(rnd.randint(0, 3)):
+            k = rnd.randrange(len(w))
+            w[k : k + 2] = rnd.choice([w[k : k + 2][::-1], w[k : k + 1], [*w[k : k + 2], rnd.choice("xyz")], [rnd.choice("abcde"), *w[k + 1 : k + 2]]])
+        counts.setdefault("".join(w), rnd.randint(1, 9))
+    known = spark.createDataFrame([], "palabra string, lecturas array<string>")
+    found = {frozenset(r) for r in v.slips(spark.createDataFrame(list(counts.items()), "palabra string, n long"), known).collect()}
+    assert found == {frozenset((a, b)) for a in counts for b in counts if a < b and v.word_cost(a, b) is not None}
+
+
+def test_two_rare_spellings_are_linked(spark):
+    rows = [
+        ("pA", "Ana Zubizarreta", D, None, None, None, None),
+        ("i1", "Ana Subizarreta", D, None, None, None, []),
+        ("pB", "Juan Torrendo", date(1960, 2, 3), None, None, None, None),
+        ("i2", "Juna Torrendo", date(1960, 2, 3), None, None, None, []),
+    ]
+    assert linked(spark, rows) == [("i1", "pA"), ("i2", "pB")]
+
+
 def test_copies_follow_their_first(spark):
     same = [(f"i{k}", "Zulma Torrendo Paz", date(1999, 9, 9), None, None, None, []) for k in range(300)]
     bare = [(f"r{k}", "Sin Datos Ningunos", None, None, None, None, []) for k in range(5)]
