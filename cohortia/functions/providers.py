@@ -122,3 +122,34 @@ def verified(units: DataFrame, verifier: Verifier, criterion: str, text: str = "
         return pd.Series([v for k in range(0, len(values), batch) for v in ask(values[k : k + batch])])
 
     return units.withColumn("veredicto", run(text))
+
+
+def nearest_of(keys: list, queries: list[list[float]], k: int, rows: int = 2048):
+    """A function over batches of (key, vector) that gives the k nearest of each query within its task: (consulta, key, distancia), ties by key."""
+
+    def near(batches):
+        best, name = None, None
+        lengths = {len(q) for q in queries}
+        by_length = {n: [i for i, q in enumerate(queries) if len(q) == n] for n in lengths}
+        wanted = {n: np.asarray([queries[i] for i in at], dtype=float) for n, at in by_length.items()}
+        for pdf in batches:
+            name = pdf.columns[0]
+            for start in range(0, len(pdf), rows):
+                part = pdf.iloc[start : start + rows]
+                sizes = part.iloc[:, 1].map(lambda v: -1 if v is None else len(v)).to_numpy()
+                for n, at in by_length.items():
+                    if not (sizes == n).any():
+                        continue
+                    matrix, own = np.vstack(part.iloc[:, 1][sizes == n].to_numpy()).astype(float), part.iloc[:, 0][sizes == n].to_numpy()
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        d = 1 - (wanted[n] @ matrix.T) / np.linalg.norm(wanted[n], axis=1, keepdims=True) / np.linalg.norm(matrix, axis=1)
+                    d = np.where(np.isfinite(d), d, np.inf)
+                    least = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.inf
+                    q, j = np.nonzero((d <= least) & (d < np.inf))
+                    new = pd.DataFrame({"q": np.asarray(at)[q], "clave": own[j], "d": d[q, j]})
+                    best = (new if best is None else pd.concat([best, new])).sort_values(["q", "d", "clave"])
+                    best = best[best.groupby("q").cumcount() < k]
+        if best is not None:
+            yield pd.DataFrame({"consulta": [keys[i] for i in best["q"]], name: best["clave"].to_numpy(), "distancia": best["d"].to_numpy()})
+
+    return near

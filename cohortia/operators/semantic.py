@@ -6,16 +6,19 @@ Models work on distinct texts (units), never on answers; vectors stay out of wha
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortia.functions import polarity
-from cohortia.functions.providers import distance_to, least_distance
+from cohortia.functions.providers import distance_to, least_distance, nearest_of
+from cohortia.session import ship
 
 PRIORITY = ["no_cumple", "cumple", "dudoso", "sin_verificar"]
 FAR = 0.55
 MOST_REFERENCES = 10_000
+QUERIES = 1024  # of one pass over the vectors
 
 
 @dataclass(frozen=True)
@@ -76,9 +79,29 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str, vector: st
     return top.withColumn("puesto", F.row_number().over(Window.orderBy("distancia", key)))
 
 
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str, allowed: DataFrame | None = None) -> DataFrame:
+    """The k nearest of each query (key, vector), exactly: (consulta, key, distancia, puesto), ties by key.
+
+    The driver reads the queries in blocks of QUERIES; each block goes once over the vectors, which keeps the k best a query and task.
+    """
+    ship(vectors.sparkSession)
+    if allowed is not None:
+        vectors = vectors.join(allowed.select(key), key, "left_semi")
+    kind = vectors.schema[key].dataType.simpleString()
+    shape = f"consulta {kind}, {key} {kind}, distancia double"
+    found = vectors.sparkSession.createDataFrame([], shape)
+    rows = queries.select(key, vector).filter(F.col(vector).isNotNull()).toLocalIterator()
+    while block := list(islice(rows, QUERIES)):
+        near = nearest_of([r[0] for r in block], [r[1] for r in block], k)
+        found = found.unionByName(vectors.select(key, vector).mapInPandas(near, shape))
+    best = F.row_number().over(Window.partitionBy("consulta").orderBy("distancia", key))
+    return found.withColumn("puesto", best).filter(F.col("puesto") <= k)
+
+
 def recall_of(exact: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    """(key, puesto) of the exact neighbours that another search misses."""
-    return exact.join(other.select(key), key, "left_anti").select(key, "puesto")
+    """(key, puesto) of the exact neighbours that another search misses; of each query, where the searches have several."""
+    keys = [*(c for c in ("consulta",) if c in exact.columns), key]
+    return exact.join(other.select(*keys), keys, "left_anti").select(*keys, "puesto")
 
 
 def rank_of(vectors: DataFrame, query: list[float], key: str, vector: str, wanted) -> DataFrame:

@@ -202,6 +202,33 @@ def recall_audit(spark, d):
     return semantic.recall_of(exact, semantic.nearest(vectors.filter("label <> 3"), q, 50, "vec_id", "embedding"), "vec_id")
 
 
+_EACH = """e as (select q.vec_id as consulta, v.vec_id, v.label, list_cosine_distance(v.embedding::double[], q.embedding::double[]) as distancia from embeddings q, embeddings v where q.vec_id % 20 = 0)"""
+_TOP = "row_number() over (partition by consulta order by distancia, vec_id)::int as puesto"
+
+
+def _each(spark, d, gated: bool = False):
+    """The 50 nearest of every vector whose id is divisible by 20."""
+    vectors = table(spark, d, "embeddings")
+    allowed = vectors.filter("label <> 3").select("vec_id") if gated else None
+    return semantic.nearest_each(vectors.select("vec_id", "embedding"), vectors.filter("vec_id % 20 = 0"), 50, "vec_id", "embedding", allowed)
+
+
+@query(f"with {_EACH} select consulta, vec_id, round(distancia, 6) as distancia, {_TOP} from e qualify puesto <= 50")
+def knn_exact_topk_each(spark, d):
+    return _each(spark, d).withColumn("distancia", F.round("distancia", 6))
+
+
+@query(f"with {_EACH} select consulta, vec_id, round(distancia, 6) as distancia, {_TOP} from e where label <> 3 qualify puesto <= 50")
+def knn_gated_topk_each(spark, d):
+    return _each(spark, d, gated=True).withColumn("distancia", F.round("distancia", 6))
+
+
+@query(f"""with {_EACH}, a as (select *, {_TOP} from e qualify puesto <= 50), b as (select *, {_TOP} from e where label <> 3 qualify puesto <= 50)
+select consulta, vec_id, a.puesto from a anti join b using (consulta, vec_id)""")
+def recall_audit_each(spark, d):
+    return semantic.recall_of(_each(spark, d), _each(spark, d, gated=True), "vec_id")
+
+
 @query(f"with {_DISTANCE} select 17::bigint as vec_id, count(*) as delante from e where round(distancia, 9) < (select round(distancia, 9) from e where vec_id = 17)")
 def rank_of_evidence(spark, d):
     return semantic.rank_of(table(spark, d, "embeddings"), _query_vector(spark, d), "vec_id", "embedding", 17)
