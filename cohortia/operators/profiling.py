@@ -56,7 +56,10 @@ def masked(texts: DataFrame, text: str) -> DataFrame:
     """texts with personal data replaced by the name of its kind."""
     out = F.col(text)
     for kind, pattern in PATTERNS:
-        if kind != "cedula":
+        if kind == "cedula":
+            hits = F.filter(F.regexp_extract_all(out, F.lit(pattern), F.lit(0)), check_digit_valid)
+            out = F.aggregate(hits, out, lambda t, v: F.replace(t, v, F.lit("[cedula]")))
+        else:
             out = F.regexp_replace(out, pattern, f"[{kind}]")
     return texts.withColumn(text, out)
 

@@ -227,3 +227,10 @@ def test_question_texts(spark):
     texts = ["P3. ¿Qué usa?? (Marque una respuesta)", "¿Qué usa?", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(profiling.cleaned_question(F.col("t"))).collect()]
     assert got == ["¿Qué usa?", "¿Qué usa?", None]
+
+
+def test_masked_covers_national_numbers(spark):
+    from cohortia.operators import profiling
+
+    texts = spark.createDataFrame([("ci 1.234.567-2 y a@b.uy",), ("ci 1.234.567-3",), (None,)], "t string")
+    assert [r["t"] for r in profiling.masked(texts, "t").collect()] == ["ci [cedula] y [correo]", "ci 1.234.567-3", None]
