@@ -327,12 +327,12 @@ def monthly_enrolments(spark, d):
 
 
 @query(f"""with {ACTIVE}, p as (select distinct id_persona from persona) select (select count(*) from p where id_persona not in (select id_persona from act)) as solo_personas,
- (select count(distinct id_persona) from act where id_persona not in (select id_persona from p)) as solo_paneles, (select count(*) from p where id_persona in (select id_persona from act)) as ambos""")
+ (select count(distinct id_persona) from act where id_persona not in (select id_persona from p)) as solo_membresias, (select count(*) from p where id_persona in (select id_persona from act)) as ambos""")
 def cross_store_gap(spark, d):
     p = roles.people(spark, d).select("id_persona", F.lit(1).alias("p"))
     m = roles.active(spark, d).select("id_persona").distinct().withColumn("m", F.lit(1))
     both = p.join(m, "id_persona", "full")
-    return both.agg(F.count_if(F.col("m").isNull()).alias("solo_personas"), F.count_if(F.col("p").isNull()).alias("solo_paneles"), F.count_if(F.col("p").isNotNull() & F.col("m").isNotNull()).alias("ambos"))
+    return both.agg(F.count_if(F.col("m").isNull()).alias("solo_personas"), F.count_if(F.col("p").isNull()).alias("solo_membresias"), F.count_if(F.col("p").isNotNull() & F.col("m").isNotNull()).alias("ambos"))
 
 
 @query("""with i as (select distinct id, id_persona, finalidades from inscripcion), x as (select id, id_persona, unnest(finalidades) as finalidad from i)

@@ -92,11 +92,11 @@ def row_recognition(spark, d):
     return upkeep.recognised(rows).select("id", "clase", "persona")
 
 
-@query("""with p as (select distinct id_persona from persona) select id_persona, case when id_persona in (select id_persona from membresia) then 'paneles' when id_persona in (select id_persona_previa from inscripcion where id_persona_previa is not null) then 'inscripciones'
+@query("""with p as (select distinct id_persona from persona) select id_persona, case when id_persona in (select id_persona from membresia) then 'membresias' when id_persona in (select id_persona_previa from inscripcion where id_persona_previa is not null) then 'inscripciones'
  when id_persona in (select id_persona from documents where id_persona is not null) then 'respuestas' end as impide from p""")
 def deletion_classes(spark, d):
     blockers = {
-        "paneles": table(spark, d, "membresia", "id_persona"),
+        "membresias": table(spark, d, "membresia", "id_persona"),
         "inscripciones": table(spark, d, "inscripcion", "id_persona_previa").withColumnRenamed("id_persona_previa", "id_persona").filter("id_persona is not null"),
         "respuestas": table(spark, d, "documents", "id_persona").filter("id_persona is not null"),
     }
