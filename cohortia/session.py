@@ -48,6 +48,21 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a DataFrame that `cut` made and that is no longer used."""
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution().analyzed()
+    file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+    if file is not None and file.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tasks(spark: SparkSession, per_core: int = 2) -> int:
+    """Number of tasks for stages whose rows take long: some per core, and no fewer than the session's shuffle partitions."""
+    return max(per_core * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
     """Repartition by key when the input has fewer splits than the cluster has cores; large inputs pass unchanged."""
     cores = df.sparkSession.sparkContext.defaultParallelism
