@@ -20,7 +20,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortia.functions.typed import abbreviates, folded, weighted_distance
+from cohortia.llm.typed import abbreviates, folded, weighted_distance
 from cohortia.session import ship
 
 THRESHOLD = 0.34

@@ -1,46 +1,49 @@
 """Linking of records of one person whose names are typed differently (problem 3).
 
-1. Words of names meet by a pigeonhole segment join over the vocabulary: a word of length L is cut into k + 1 segments; a word within k
-   edits holds one of them unchanged, shifted by at most k, so that the segments stand in an inverted index and all shifted
-   substrings are looked up in it; a banded edit distance verifies. A rare word gets those of at least RATIO times its frequency as
-   further readings; a short one also those it begins. A second join of the same kind, of words of any frequency, with the edits and
-   transpositions of verification, adds the pairs that no common reading brings together.
-2. Records become candidates if they agree in a key: mail, phone or document, birth date with two words (any readings), three words
-   with birth dates that share two of year, month and day, a suggested candidate, or three words that only one person has.
-3. Candidates are verified by aligning all words (edit distance, nicknames, initials) together with birth dates, phones, mails
-   and documents; differing documents, and birth dates that no slip explains, contradict.
-4. Each record goes to the best person; records without one are grouped among themselves by the smallest key along links.
-
-Exact copies of a registration or review are represented by the first of them. A mail, phone or document that more than SHARED records
-hold is a key only together with two words, with the word of a name of one, or with a birth date up to a slip, which are all the pairs that
-verification takes. If more than one person is among its holders, it counts in verification, but outweighs no contradiction, and a
-different one is none. No key is a name word or a date alone except for records whose name has a single full word, so a frequent name or
-date doesn't make a heavy group.
-
-Defined results: records with null or wordless names link by nothing; names of more than MOST_WORDS full words, which are no names of
-persons, link by mail, phone, document or suggestion only; repeated rows count once; two rows of the same key aren't a pair.
+1. The words of a name are cut into k + 1 segments (k by length: 1 under six letters, 2 under nine, else 3). Within k edits of a word one of its
+   segments is left unchanged, shifted by no more than the edits, so the segments stand in an inverted index and the shifted substrings of
+   the other names are looked up in it. Words are also indexed whole, by their beginnings, and as short forms of given names.
+2. The index is divided by what the records say beside their names: mail, phone, document, birth date, or a suggested candidate. Two records
+   become candidates if they share one of these values and a segment of a word. A block of up to IN_MEMORY records is indexed in
+   memory; a larger one by a join on (value, segment). Both find the same candidates, so the bound changes no result.
+3. Records whose dates differ by a slip are candidates if two words of names of three or more are alike: of the three segments that the
+   words of such a name are, two are left unchanged. If one has no date, three words must be alike.
+4. Candidates are verified by aligning all words (banded edit distance, short forms, initials) together with birth dates, phones, mails and
+   documents; differing documents, and birth dates that no slip explains, contradict.
+5. Each record goes to the best person; records without one are grouped along their links, and a group goes to the person of the best
+   record linked to it.
+
+A value that several persons hold counts in verification, but outweighs no contradiction, and a different one is none. An undated record
+without any other agreement goes to a person only if the name (three words or more) fits that one alone.
+
+Exact copies of a registration or review are represented by the first of them. Keys are 64-bit hashes: what meets by accident is verified
+like any other candidate.
+
+Defined results: records with null or wordless names link by an equal document only, persons without a name also by two of mail, phone and
+birth date; repeated rows count once; two rows of the same key aren't a pair.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from datetime import date
 from functools import lru_cache
-from itertools import combinations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortia.functions.typed import bounded_distance, folded
-from cohortia.session import cut, ship, spread
+from cohortia.llm.typed import bounded_distance, folded
+from cohortia.session import cut, discard, ship, tasks
 
-RATIO = 3
-SHORT = (3, 4, 5)  # lengths of words that may be the beginning of a given name
-SHARED = 200
-MOST_WORDS = 12
-BROADCAST_ROWS = 1_000_000
+IN_MEMORY = 2_000
+MANY_WORDS = 12  # longer names meet others by single words instead of pairs of words
+LONGEST = 40  # letters of a word that may be abbreviated
+BROADCAST_ROWS = 100_000  # of 17 bytes each
 
 # Spanish short forms of given names (beyond plain beginnings), particles and titles.
 NICKNAMES = {
@@ -97,138 +100,87 @@ def words_of(name: str | None) -> tuple[list[str], list[str]]:
     return full, initials
 
 
-def edits(length: int) -> int:
-    """Edits up to which words of the length are read as one another."""
-    return 0 if length < 3 else 1 if length < 5 else 2
+# --- the inverted index -------------------------------------------------------------------------------------------
 
 
-def segments(word: str, k: int) -> list[tuple[int, int, str]]:
-    """(number, start, text) of the k + 1 segments of nearly equal length."""
-    n, out, at = len(word), [], 0
-    for i in range(k + 1):
-        size = n // (k + 1) + (i >= k + 1 - n % (k + 1))
-        out.append((i, at, word[at : at + size]))
-        at += size
-    return out
-
-
-def lookups(word: str) -> set[tuple[int, int, str]]:
-    """(length of the indexed word, segment number, text) under which words within their edits of this one stand."""
-    out = set()
-    for length in range(max(3, len(word) - 2), len(word) + 3):
-        k = edits(length)
-        if abs(length - len(word)) > k:
-            continue
-        for i, at, text in segments("x" * length, k):
-            for start in range(max(0, at - k), min(len(word) - len(text), at + k) + 1):
-                out.add((length, i, word[start : start + len(text)]))
-    return out
-
-
-def readings(vocabulary: DataFrame) -> DataFrame:
-    """palabra, lecturas: the more frequent words that a word may be a misspelling of. vocabulary: palabra, n."""
+def word_edits(length: int) -> int:
+    """Edits, adjacent transpositions among them, up to which word_cost takes words as one, by the length of the longer."""
+    return 0 if length < 3 else 1 if length < 6 else 2 if length < 9 else 3
 
-    def index(batches):
-        for pdf in batches:
-            rows = [(w, n, len(w), i, s) for w, n in zip(pdf["palabra"], pdf["n"]) if edits(len(w)) for i, _, s in segments(w, edits(len(w)))]
-            rows += [(w, n, 0, 0, w[:size]) for w, n in zip(pdf["palabra"], pdf["n"]) for size in SHORT if len(w) >= size + 2]
-            yield pd.DataFrame(rows, columns=["hacia", "m", "largo", "parte", "texto"])
 
-    def probe(batches):
-        for pdf in batches:
-            rows = [(w, n, *x) for w, n in zip(pdf["palabra"], pdf["n"]) for x in lookups(w)]
-            rows += [(w, n, 0, 0, w) for w, n in zip(pdf["palabra"], pdf["n"]) if len(w) in SHORT]
-            yield pd.DataFrame(rows, columns=["palabra", "n", "largo", "parte", "texto"])
+@lru_cache(256)
+def cuts(length: int, k: int) -> tuple[tuple[int, int, int], ...]:
+    """(number, start, size) of the k + 1 segments of nearly equal size of a word of the length."""
+    edges = [i * length // (k + 1) for i in range(k + 2)]
+    return tuple((i, edges[i], edges[i + 1] - edges[i]) for i in range(k + 1))
 
-    indexed = vocabulary.filter(F.col("n") >= RATIO).mapInPandas(index, "hacia string, m long, largo int, parte int, texto string")
-    probed = vocabulary.mapInPandas(probe, "palabra string, n long, largo int, parte int, texto string")
-    limit = F.when(F.col("largo") < 5, 1).otherwise(2)
-    distance = F.levenshtein("palabra", "hacia", 2)
-    slip = (F.col("m") >= RATIO * F.col("n")) & (distance >= 0) & (distance <= limit)
-    near = probed.join(indexed, ["largo", "parte", "texto"]).filter(F.col("palabra") != F.col("hacia")).filter((F.col("largo") == 0) | slip)
-    return near.groupBy("palabra").agg(F.collect_set("hacia").alias("lecturas"))
 
+@lru_cache(8192)
+def indexed(word: str) -> tuple[str, ...]:
+    """Keys under which a word stands in the index.
 
-def word_edits(length: int) -> int:
-    """Edits, adjacent transpositions among them, up to which word_cost takes words as one, by the length of the longer."""
-    return 0 if length < 3 else 1 if length < 6 else 2 if length < 9 else 3
+    A transposition over the edge of two segments counts for the left one, so the right one is also indexed with its first letter as if transposed.
+    """
+    n, out = len(word), {"=" + word}
+    for k in {word_edits(m) for m in range(n, n + 4) if m - n <= word_edits(m)} - {0}:
+        for i, at, size in cuts(n, k):
+            out.add(f"{n}.{k}.{i}.{word[at : at + size]}")
+            if at:
+                out.add(f"{n}.{k}.{i}.{word[at - 1]}{word[at + 1 : at + size]}")
+    if n <= LONGEST:
+        out |= {"<" + word[:size] for size in range(3, n - 1)}
+    if word in _NICKNAMES_OF:
+        out.add("*" + word)
+    return (*out, *("~" + NICKNAMES[short] for short in _near_nicknames(word)))
+
+
+@lru_cache(8192)
+def looked_up(word: str) -> tuple[str, ...]:
+    """Keys under which the words that word_cost takes as one with this word may stand: substrings whose shift the edits before and after them explain."""
+    n, out = len(word), {"=" + word, "<" + word}
+    for m in range(max(2, n - 3), n + 4):
+        k, longer = word_edits(max(n, m)), n - m
+        if not k or abs(longer) > k:
+            continue
+        for i, at, size in cuts(m, k):
+            for start in range(max(0, at - (k - longer) // 2), min(n - size, at + (k + longer) // 2) + 1):
+                out.add(f"{m}.{k}.{i}.{word[start : start + size]}")
+    if n <= LONGEST:
+        out |= {"=" + word[:size] for size in range(3, n - 1)}
+    if word in _NICKNAMES_OF:
+        out.add("~" + word)
+    return (*out, *("*" + NICKNAMES[short] for short in _near_nicknames(word)))
 
 
-def slips(vocabulary: DataFrame, known: DataFrame) -> DataFrame:
-    """palabra, hacia: pairs that word_cost takes as one and whose readings in `known` don't meet, from the rarer word to the other.
+@lru_cache(8192)
+def _letters(word: str) -> int:
+    """The letters of a word as bits; others share the bits above."""
+    return sum({1 << (ord(ch) - 97 if "a" <= ch <= "z" else 26 + ord(ch) % 38) for ch in word})
 
-    A transposition over the edge of two segments counts for the left one, so the right one is also indexed with its first letter as
-    if transposed; of k + 1 segments one is then left unchanged by k edits.
-    """
 
-    def index(batches):
-        for pdf in batches:
-            rows = []
-            for w in pdf["palabra"]:
-                if k := word_edits(len(w)):
-                    for i, at, text in segments(w, k):
-                        rows += [(w, len(w), i, t) for t in ({text, w[at - 1] + text[1:]} if at else {text})]
-                rows += [(w, 0, 0, w[:size]) for size in range(3, len(w) - 1)]
-            yield pd.DataFrame(rows, columns=["b", "largo", "parte", "texto"])
-
-    def probe(batches):
-        for pdf in batches:
-            rows = []
-            for w in pdf["palabra"]:
-                found = {(0, 0, w)}
-                for length in range(max(3, len(w)), len(w) + 4):
-                    k = word_edits(length)
-                    if length - len(w) <= k:
-                        for i, at, text in segments("x" * length, k):
-                            found |= {(length, i, w[x : x + len(text)]) for x in range(max(0, at - k), min(len(w) - len(text), at + k) + 1)}
-                rows += [(w, *x) for x in found]
-            yield pd.DataFrame(rows, columns=["a", "largo", "parte", "texto"])
-
-    def misspelt(batches):
-        for pdf in batches:
-            rows = [(w, given) for w in pdf["palabra"] for nick in _near_nicknames(w) for given in [NICKNAMES[nick]] if given != w]
-            yield pd.DataFrame(rows, columns=["a", "b"])
-
-    def verify(batches):
-        for pdf in batches:
-            yield pdf[[word_cost(a, b) is not None for a, b in zip(pdf["a"], pdf["b"])]]
-
-    words = vocabulary.select("palabra")
-    met = words.mapInPandas(probe, "a string, largo int, parte int, texto string").join(words.mapInPandas(index, "b string, largo int, parte int, texto string"), ["largo", "parte", "texto"])
-    most = F.when(F.length("b") < 6, 2).when(F.length("b") < 9, 4).otherwise(6)
-    met = met.filter(F.col("a") != F.col("b")).filter((F.col("largo") == 0) | (F.levenshtein("a", "b") <= most)).select("a", "b")
-    met = met.unionByName(words.mapInPandas(misspelt, "a string, b string").join(words.withColumnRenamed("palabra", "b"), "b", "left_semi")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = met.mapInPandas(verify, "a string, b string")
-    meets = vocabulary.join(known, "palabra", "left").select("palabra", "n", F.array_append(F.coalesce("lecturas", F.array().cast("array<string>")), F.col("palabra")).alias("todas"))
-    side = lambda c: meets.select(F.col("palabra").alias(c), F.col("n").alias(f"n{c}"), F.col("todas").alias(f"todas{c}"))
-    apart = near.join(side("a"), "a").join(side("b"), "b").filter(~F.arrays_overlap("todasa", "todasb"))
-    rarer = F.col("na") <= F.col("nb")
-    return apart.select(F.when(rarer, F.col("a")).otherwise(F.col("b")).alias("palabra"), F.when(rarer, F.col("b")).otherwise(F.col("a")).alias("hacia"))
-
-
-# --- verification -------------------------------------------------------------------------------------------------
+@lru_cache(8192)
+def _short_for(word: str) -> frozenset[str]:
+    """Given names of which the word is a short form up to an edit."""
+    return frozenset(NICKNAMES[short] for short in _near_nicknames(word) if bounded_distance(word, short, 1) <= 1)
 
 
 def word_cost(a: str, b: str) -> float | None:
     """Cost of reading two full words as one: 0 equal, less than 1 for slips and short forms, None if they differ."""
     if a == b:
         return 0.0
-    return _word_cost(*sorted((a, b)))
+    short, long_ = (a, b) if len(a) <= len(b) else (b, a)
+    size = len(long_)
+    if len(short) >= 3 and size - len(short) >= 2 and size <= LONGEST and long_.startswith(short):
+        return 0.15
+    k = word_edits(size)
+    if size - len(short) <= k:  # an edit takes or brings one letter at most
+        x, y = _letters(a), _letters(b)
+        if (x & ~y).bit_count() <= k and (y & ~x).bit_count() <= k and (d := _edits(short, long_, k)) <= k and d / size <= 0.34:
+            return 0.1 + d / size
+    return 0.3 if a in _short_for(b) or b in _short_for(a) else None
 
 
-@lru_cache(200_000)
-def _word_cost(a: str, b: str) -> float | None:
-    short, long_ = sorted((a, b), key=len)
-    if len(short) >= 3 and long_.startswith(short) and len(long_) - len(short) >= 2:
-        return 0.15
-    k = 1 if len(long_) < 5 else 2 if len(long_) < 9 else 3
-    d = bounded_distance(a, b, k)
-    if d <= k and d / len(long_) <= 0.34:
-        return 0.1 + d / len(long_)
-    for x, y in ((a, b), (b, a)):  # a misspelt nickname
-        if len(x) >= 4 and any(bounded_distance(x, n, 1) <= 1 for n in _NICKNAMES_OF.get(y, ())):
-            return 0.3
-    return None
+_edits = lru_cache(50_000)(bounded_distance)
 
 
 def compare_names(a: tuple[list[str], list[str]], b: tuple[list[str], list[str]]) -> tuple[int, int, int, float]:
@@ -270,93 +222,296 @@ def compare_dates(a: date | None, b: date | None) -> str:
     return "cerca" if near else "flojo" if loose else "lejos"
 
 
-def near_dates(d: date) -> set[tuple]:
-    """Keys of which two dates share one if they are equal or one slip explains their difference, as compare_dates has it."""
-    x, n, year, day = d.strftime("%Y%m%d"), d.toordinal() // 11, d.year, d.strftime("%m%d")
-    out: set[tuple] = {("cifra", i, x[:i] + "_" + x[i + 1 :]) for i in range(8)}
-    out |= {("trueque", i, x[:i] + "".join(sorted(x[i : i + 2])) + x[i + 2 :]) for i in range(7)}
-    out |= {("vuelta", year, min(d.month, d.day), max(d.month, d.day)), ("dias", n), ("dias", n + 1)}
-    return out | {("años", step, y, day) for step in (1, 10) for y in (year, year + step)}
+class Record:
+    """What verification looks at."""
+
+    __slots__ = ("celular", "clave", "comunes", "candidatos", "documento", "email", "fecha", "words")
+
+    def __init__(self, data: str):
+        words, initials, day, self.celular, self.email, self.documento, suggested, self.comunes, self.clave = data.split("\x1f", 8)
+        self.words = (words.split(), initials.split())
+        self.fecha = _day(int(day)) if day else None
+        self.candidatos = suggested.split()
+
+
+@lru_cache(100_000)
+def _day(number: int) -> date | None:
+    """Date of a number of days since 1970; None beyond the calendar."""
+    try:
+        return date.fromordinal(719_163 + number)
+    except (ValueError, OverflowError):
+        return None
+
+
+def _given(a: Record, b: Record, field: str) -> str:
+    x, y = getattr(a, field), getattr(b, field)
+    return "falta" if not x or not y else "igual" if x == y else "falta" if field in a.comunes or field in b.comunes else "otro"
 
 
-def judge(a: dict, b: dict) -> float | None:
-    """Score of two records as one person; None if they aren't taken for one."""
-    full, initials, left, cost = compare_names(a["words"], b["words"])
-    common = a["comunes"] | b["comunes"]
-    given = lambda f: "falta" if not a[f] or not b[f] else "igual" if a[f] == b[f] else "falta" if f in common else "otro"
-    mail, phone, paper, birth = given("email"), given("celular"), given("documento"), compare_dates(a["fecha"], b["fecha"])
-    if paper == "otro":
+def judge(a: Record, b: Record) -> tuple[float, bool] | None:
+    """(score of two records as one person, whether their names are all that speaks for it); None if they aren't taken for one."""
+    if a.documento and b.documento and _given(a, b, "documento") == "otro":
         return None
-    suggested = b["clave"][1:] in a["candidatos"] or a["clave"][1:] in b["candidatos"]
+    birth = compare_dates(a.fecha, b.fecha)
+    mail, phone, paper = _given(a, b, "email"), _given(a, b, "celular"), _given(a, b, "documento")
     sure = mail == "igual" or paper == "igual"
-    # what outweighs a contradiction: agreement in a value that isn't of several persons and many records
+    suggested = b.clave[1:] in a.candidatos or a.clave[1:] in b.candidatos
+    common = a.comunes + b.comunes
+    # what outweighs a contradiction: agreement in a value that isn't of several persons
     firm = mail == "igual" and "email" not in common or paper == "igual" and "documento" not in common
     firm_phone = phone == "igual" and "celular" not in common
+    if birth == "lejos" and not firm or birth == "flojo" and not firm and not firm_phone:
+        return None
+    score = 5.0 * (paper == "igual") + 4.0 * (mail == "igual") + 3.0 * (phone == "igual")
+    score += {"igual": 3.0, "cerca": 1.5, "falta": 0.0, "flojo": 0.5, "lejos": -2.0}[birth]
     dated = birth in ("igual", "cerca")
-    if not full or full == 1 and not initials and min(len(a["words"][0]), len(b["words"][0])) > 1 and not (sure and dated):
+    if not a.words[0] or not b.words[0]:
+        person = b.clave[0] == "p" and a.words[0]
+        return (score, False) if paper == "igual" or person and phone != "otro" and (mail == "igual") + (phone == "igual") + (birth == "igual") >= 2 else None
+    full, initials, left, cost = compare_names(a.words, b.words)
+    if not full or full == 1 and not initials and min(len(a.words[0]), len(b.words[0])) > 1 and not (sure and dated):
         return None
-    if birth == "lejos" and not firm or birth == "flojo" and not firm and not firm_phone or phone == "otro" and not firm and not (birth == "igual" and full >= 3 and not left):
+    if phone == "otro" and not firm and not (birth == "igual" and full >= 3 and not left):
         return None
     complete = not left
+    alike = len({*a.words[0]} & {*b.words[0]})
     accepted = (
         sure and (complete or left == 1 and full >= 2 or dated)
         or phone == "igual" and complete and (full >= 2 or initials or birth == "igual")
         or phone == "igual" and dated and left == 1 and full + initials >= 2
         or birth == "igual" and complete and (full >= 2 or initials)
-        or birth == "cerca" and complete and (full >= 3 or suggested and full >= 2)
-        or birth == "falta" and complete and (a["unico"] or b["unico"] or suggested) and full >= 2
+        or birth == "cerca" and complete and (full >= 3 and alike >= 2 or suggested and full >= 2)
+        or birth == "falta" and complete and suggested and full >= 2
     )
-    if not accepted:
+    by_name = not accepted and birth == "falta" and complete and alike >= 3
+    if not accepted and not by_name:
         return None
-    score = 5.0 * (paper == "igual") + 4.0 * (mail == "igual") + 3.0 * (phone == "igual")
-    score += {"igual": 3.0, "cerca": 1.5, "falta": 0.0, "flojo": 0.5, "lejos": -2.0}[birth]
-    return score + suggested + 0.6 * full + 0.2 * initials - 1.5 * left - cost
+    return score + suggested + 0.6 * full + 0.2 * initials - 1.5 * left - cost, by_name
 
 
 # --- the operator -------------------------------------------------------------------------------------------------
 
-
-def _key(*parts: object) -> int:
-    return xxhash.xxh3_64_intdigest("|".join(map(str, parts)).encode()) - 2**63
-
-
 RECORD = ["clave", "nombre", "fecha", "celular", "email", "documento", "candidatos"]
+PACKED = ["palabras", "iniciales", "dia", "celular", "email", "documento", "candidatos", "comunes", "clave"]  # fields of `datos`, in order
+VALUES = ["documento", "email", "celular", "dia", "sugerida"]  # what divides the index, most telling first
+LINK = pa.schema([("a", pa.string()), ("b", pa.string()), ("puntaje", pa.float64()), ("solo_nombre", pa.bool_())])
+LINKS = "a string, b string, puntaje double, solo_nombre boolean"
 
 
 def normalised(records: DataFrame) -> DataFrame:
-    """The records once per key and values, with mail in lower case, the last eight digits of the phone, letters and digits of the document."""
+    """The records with mail in lower case, the last eight digits of the phone, letters and digits of the document, candidates in one text, and
+    `perfil`: a hash of all but the key."""
     digits = F.right(F.regexp_replace("celular", "[^0-9]", ""), F.lit(8))
-    return records.filter("clave is not null").select(
+    out = records.filter("clave is not null").select(
         "clave",
         "nombre",
-        F.col("fecha").cast("date").alias("fecha"),
+        F.unix_date(F.col("fecha").cast("date")).alias("dia"),
         F.when(F.length(digits) == 8, digits).alias("celular"),
-        F.nullif(F.lower(F.trim("email")), F.lit("")).alias("email"),
+        F.nullif(F.lower(F.trim(F.translate("email", "\x1f", ""))), F.lit("")).alias("email"),
         F.nullif(F.lower(F.regexp_replace("documento", "[^0-9A-Za-z]", "")), F.lit("")).alias("documento"),
-        F.coalesce("candidatos", F.array().cast("array<string>")).alias("candidatos"),
-    ).dropDuplicates(["clave"])
-
-
-def _marked(records: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """records with `frecuentes`, the fields whose value more than SHARED records hold, and `comunes`, those where several persons are among them."""
-    for field in fields:
-        held = records.filter(F.col(field).isNotNull()).groupBy(field).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("clave").startswith("p")).alias("personas"))
-        held = held.filter(F.col("n") > SHARED).select(field, (F.col("personas") > 1).alias(f"varias_{field}"))
-        records = records.join(_small(held), field, "left")
-    often = F.array_compact(F.array(*(F.when(F.col(f"varias_{f}").isNotNull(), f) for f in fields)))
-    common = F.array_compact(F.array(*(F.when(F.col(f"varias_{f}"), f) for f in fields)))
-    return records.withColumns({"frecuentes": often, "comunes": common}).drop(*(f"varias_{f}" for f in fields))
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if its size, checked, allows it."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+        F.coalesce(F.translate(F.array_join("candidatos", " "), "\x1f", ""), F.lit("")).alias("candidatos"),
+    )
+    fields = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in out.columns[1:]]
+    return out.withColumn("perfil", F.unhex(F.md5(F.concat_ws("\x01", *fields))))
+
+
+def _person(column: str) -> F.Column:
+    return F.col(column).startswith("p")
+
+
+def _read(base: DataFrame, n: int) -> DataFrame:
+    """One row per person's row and per set of copies: the fields, the words and the initials of the name."""
+    own = F.when(_person("clave"), F.col("clave")).alias("propia")
+    kept = ["nombre", "dia", "celular", "email", "documento", "candidatos"]
+    once = base.select("*", own).repartition(n, "perfil", "propia").groupBy("perfil", "propia").agg(F.min(F.struct("clave", *kept)).alias("r")).select("perfil", "r.*")
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [words_of(x) for x in batch.column("nombre").to_pylist()]
+            words = [pa.array([" ".join(x[side]) for x in found], pa.string()) for side in (0, 1)]
+            table = pa.Table.from_batches([batch]).drop_columns("nombre").append_column("palabras", words[0]).append_column("iniciales", words[1])
+            yield from table.to_batches()
+
+    shape = "perfil binary, clave string, dia int, celular string, email string, documento string, candidatos string, palabras string, iniciales string"
+    return once.mapInArrow(read, shape)
+
+
+def _blocks(data: DataFrame) -> DataFrame:
+    """An entry for each value by which a record may meet others: bloque (a hash), orden (the kind of value) beside the columns of the record."""
+    hashed = [F.when(F.col(c).isNotNull(), F.struct(F.xxhash64(F.lit(c), F.col(c).cast("string")).alias("bloque"), F.lit(i).alias("orden"))) for i, c in enumerate(VALUES[:-1])]
+    own = F.array(F.struct(F.xxhash64(F.lit("sugerida"), F.expr("substring(clave, 2)")).alias("bloque"), F.lit(4).alias("orden")))
+    named = F.transform(F.filter(F.split("candidatos", " "), lambda c: c != ""), lambda c: F.struct(F.xxhash64(F.lit("sugerida"), c).alias("bloque"), F.lit(4).alias("orden")))
+    every = F.concat(F.array_compact(F.array(*hashed)), F.when(_person("clave"), own).otherwise(named))
+    return data.select(F.explode(every).alias("x"), *data.columns).select("x.*", *data.columns)
+
+
+def _with_common(data: DataFrame, held: DataFrame, small: bool) -> DataFrame:
+    """data with `datos`: all that verification looks at, among it the names of the fields whose value several persons hold."""
+    several = held.filter("varias").select("bloque", F.lit(True).alias("v"))
+    for c in VALUES[:3]:
+        side = several.withColumnRenamed("v", f"varias_{c}")
+        data = data.withColumn("bloque", F.xxhash64(F.lit(c), F.col(c))).join(F.broadcast(side) if small else side, "bloque", "left").drop("bloque")
+    flags = [F.when(F.col(f"varias_{c}") & F.col(c).isNotNull(), F.lit(c)) for c in VALUES[:3]]
+    data = data.withColumn("comunes", F.concat_ws(" ", *flags))
+    packed = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in PACKED))
+    return data.withColumn("datos", packed).drop("comunes", *(f"varias_{c}" for c in VALUES[:3]))
+
+
+def _met_before(a: Record, b: Record, order: int) -> bool:
+    """Whether the two share a more telling value, in whose block they meet as well."""
+    return (
+        order > 0 and a.documento and a.documento == b.documento
+        or order > 1 and a.email and a.email == b.email
+        or order > 2 and a.celular and a.celular == b.celular
+        or order > 3 and a.fecha is not None and a.fecha == b.fecha
+    )
 
 
-def _profile() -> F.Column:
-    """What two records that are copies of one another share: all that the operator looks at."""
-    fields = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("nombre", "fecha", "celular", "email", "documento")]
-    return F.md5(F.concat_ws("\x01", *fields, F.array_join("candidatos", ",")))
+def _links_in(entries: list[Record], order: int, out: list[tuple]) -> None:
+    """Append the links within a block: index the words of all, look up those of registrations and reviews, verify."""
+    index: dict[str, list[int]] = defaultdict(list)
+    for j, e in enumerate(entries):
+        for w in e.words[0]:
+            for key in indexed(w):
+                index[key].append(j)
+    for i, a in enumerate(entries):
+        if a.clave[0] == "p":
+            continue
+        met: set[int] = set()
+        for w in a.words[0]:
+            for key in looked_up(w):
+                if key in index:
+                    met.update(index[key])
+        for j in met:
+            b = entries[j]
+            if j == i or b.clave[0] != "p" and b.clave <= a.clave or _met_before(a, b, order):
+                continue
+            if (score := judge(a, b)) is not None:
+                out.append((a.clave, b.clave, *score))
+
+
+def _link_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, LINK.types)], schema=LINK)
+
+
+def _in_memory(entries: DataFrame, n: int) -> DataFrame:
+    """Links of the blocks that are indexed in memory."""
+
+    def linked(table: pa.Table) -> pa.RecordBatch:
+        """Links in whole blocks, one after the other in the table."""
+        keys, persons, out = table["bloque"].to_numpy(), table["persona"].to_numpy(), []
+        starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else np.array([], int)
+        sizes = np.diff(starts, append=len(keys))
+        asked = sizes - np.add.reduceat(persons.astype(int), starts) if len(keys) else sizes
+        for at, size in zip(*(x[(sizes > 1) & (asked > 0)].tolist() for x in (starts, sizes))):
+            _links_in([Record(x) for x in table["datos"].slice(at, size).to_pylist()], table["orden"][at].as_py(), out)
+        return _link_batch(out)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([kept, table]) if kept is not None else table
+            keys = table["bloque"].to_numpy()
+            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last block may go on
+            yield linked(table.slice(0, whole).combine_chunks())
+            kept = table.slice(whole)
+        if kept is not None:
+            yield linked(kept.combine_chunks())
+
+    placed = entries.select("bloque", "orden", _person("clave").alias("persona"), "datos").repartition(n, "bloque").sortWithinPartitions("bloque")
+    return placed.mapInArrow(run, LINKS)
+
+
+def _by_join(entries: DataFrame) -> DataFrame:
+    """a, b: candidates of the blocks that are too large for that, by a join of the index and the lookups."""
+    shape, schema = "k long, clave string", pa.schema([("k", pa.int64()), ("clave", pa.string())])
+
+    def emit(keys_of):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    ks, names = [], []
+                    for block, clave, text in zip(*(part.column(c).to_pylist() for c in ("bloque", "clave", "palabras"))):
+                        for key in {key for w in text.split() for key in keys_of(w)}:
+                            ks.append(xxhash.xxh3_64_intdigest(key.encode(), seed=block & 0xFFFFFFFFFFFFFFFF) - 2**63)
+                            names.append(clave)
+                    yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(names, pa.string())], schema=schema)
+
+        return run
+
+    cols = entries.select("bloque", "clave", "palabras")
+    index = cols.mapInArrow(emit(indexed), shape).withColumnRenamed("clave", "b")
+    asked = cols.filter(~_person("clave")).mapInArrow(emit(looked_up), shape).withColumnRenamed("clave", "a")
+    return asked.join(index, "k").filter(_person("b") | (F.col("a") < F.col("b"))).select("a", "b").distinct()
+
+
+def _slip(x: str, y: str) -> F.Column:
+    """Whether a slip may explain the difference of two days (numbers since 1970): what compare_dates calls near, and little else."""
+    a, b = F.date_from_unix_date(x), F.date_from_unix_date(y)
+    year, month, day = (F.year(a), F.year(b)), (F.month(a), F.month(b)), (F.dayofmonth(a), F.dayofmonth(b))
+    same = lambda p: p[0] == p[1]
+    crossed = lambda p, q: (p[0] % 10 == F.floor(q[1] / 10)) & (p[1] % 10 == F.floor(q[0] / 10))
+    within = same(month) | same(day) | (month[0] == day[1]) & (month[1] == day[0]) | crossed(month, day)
+    return (F.abs(F.col(x) - F.col(y)) <= 10) | same(month) & same(day) | same(year) & within | same(day) & crossed(year, month)
+
+
+def _by_words(data: DataFrame) -> DataFrame:
+    """a, b: candidates that share two words of three or more, with dates that differ by a slip, or three, with persons if a date is missing."""
+    words = data.select("clave", "dia", F.split("palabras", " ").alias("w")).filter("size(w) >= 3")
+    rest = lambda i: F.slice("w", i + 2, F.size("w"))
+    pair = F.flatten(F.transform("w", lambda x, i: F.transform(rest(i), lambda y: F.xxhash64(x, y))))
+    three = F.flatten(F.flatten(F.transform("w", lambda x, i: F.transform(rest(i), lambda y, j: F.transform(F.slice("w", i + j + 3, F.size("w")), lambda z: F.xxhash64(x, y, z))))))
+    side = lambda df, s, *more: df.select(F.col("clave").alias(s), F.col("dia").alias(f"dia_{s}"), *more)
+    slip = F.col("dia_a").isNotNull() & F.col("dia_b").isNotNull() & (F.col("dia_a") != F.col("dia_b")) & _slip("dia_a", "dia_b") & (_person("b") | (F.col("a") < F.col("b")))
+    usual = words.filter(F.size("w") <= MANY_WORDS).withColumn("w", F.array_sort("w"))
+    dated, undated = usual.filter("dia is not null"), usual.filter("dia is null")
+    by_two, by_three = F.explode(pair).alias("k"), F.explode(three).alias("k")
+    others, people = ~_person("clave"), _person("clave")
+    found = side(dated.filter(others), "a", by_two).join(side(dated, "b", by_two), "k").filter(slip).select("a", "b")
+    for mine, theirs in ((undated, usual), (dated, undated)):
+        found = found.unionByName(side(mine.filter(others), "a", by_three).join(side(theirs.filter(people), "b", by_three), "k").select("a", "b"))
+    long_names = words.filter(F.size("w") > MANY_WORDS)
+    if not long_names.isEmpty():  # those meet all others by single words, of which two must be shared
+        each = F.explode("w").alias("palabra")
+        one = side(long_names.filter(others), "a", each).join(side(words, "b", each), "palabra")
+        other = side(words.filter(others), "a", each).join(side(long_names, "b", each), "palabra")
+        near = slip | (F.col("dia_a").isNull() | F.col("dia_b").isNull()) & _person("b")
+        found = found.unionByName(one.unionByName(other).filter(near & (F.col("a") != F.col("b"))).distinct().groupBy("a", "b").count().filter("count >= 2").select("a", "b"))
+    return found
+
+
+def _nameless(data: DataFrame) -> DataFrame:
+    """a, b: candidates of which one has no full word: a nameless person who shares two of mail, phone and date, or any with equal documents."""
+    two = [("email", "celular"), ("email", "dia"), ("celular", "dia")]
+    shared = [F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.xxhash64(F.lit(x + y), x, y)) for x, y in two]
+    paper = F.when(F.col("documento").isNotNull(), F.xxhash64(F.lit("documento"), "documento"))
+    nameless = F.length("palabras") == 0
+    keyed = data.select("clave", nameless.alias("sin_nombre"), paper.alias("papel"), F.explode(F.array_compact(F.array(paper, *shared))).alias("k"))
+    asked = keyed.filter(~_person("clave")).select("k", F.col("clave").alias("a"))
+    found = asked.join(keyed.filter(_person("clave") & F.col("sin_nombre")).select("k", F.col("clave").alias("b")), "k").select("a", "b")
+    papers = keyed.filter(F.col("k") == F.col("papel"))
+    own = papers.filter(~_person("clave") & F.col("sin_nombre")).select("k", F.col("clave").alias("x")).join(papers.select("k", F.col("clave").alias("y")), "k").filter("x <> y")
+    first = _person("y") | (F.col("x") < F.col("y"))
+    return found.unionByName(own.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b")))
+
+
+def _verified(pairs: DataFrame, data: DataFrame) -> DataFrame:
+    """Links among candidate pairs."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = Record(x), Record(y)
+                if (score := judge(a, b)) is not None:
+                    out.append((a.clave, b.clave, *score))
+            yield _link_batch(out)
+
+    side = lambda s: data.select(F.col("clave").alias(s), F.col("datos").alias(f"datos_{s}"))
+    by_b = pairs.join(side("b"), "b").repartition(tasks(data.sparkSession), "a")  # of a number that isn't lowered, as verification takes long
+    return by_b.join(side("a"), "a").select("datos_a", "datos_b").mapInArrow(run, LINKS)
 
 
 def links(records: DataFrame) -> DataFrame:
@@ -366,160 +521,85 @@ def links(records: DataFrame) -> DataFrame:
     """
     spark = records.sparkSession
     ship(spark)
-    whole = cut(normalised(records).withColumn("perfil", _profile()))
-    copied = whole.filter("not clave like 'p%'").groupBy("perfil").agg(F.min("clave").alias("primera"), F.count(F.lit(1)).alias("copias")).filter("copias > 1")
-    copied = cut(copied.select("perfil", "primera"))
-    copies = whole.join(_small(copied), "perfil").filter("not clave like 'p%'").select("clave", "primera", "nombre", "fecha", "celular", "email", "documento")
-    data = whole.join(_small(copies.filter("clave <> primera").select("clave")), "clave", "left_anti").drop("perfil")
-    data = _marked(data, ("celular", "email", "documento"))
-
-    def read(batches):
-        for pdf in batches:
-            found = [words_of(n) for n in pdf["nombre"]]
-            yield pdf.drop(columns="nombre").assign(palabras=[x[0] for x in found], iniciales=[x[1] for x in found], rid=[_key(c) for c in pdf["clave"]])
-
-    shape = "clave string, fecha date, celular string, email string, documento string, candidatos array<string>, frecuentes array<string>, comunes array<string>, palabras array<string>, iniciales array<string>, rid long"
-    data = cut(spread(data.select(*RECORD, "frecuentes", "comunes"), "clave").mapInPandas(read, shape).filter("size(palabras) > 0"))
-
-    words = data.select("rid", F.explode("palabras").alias("palabra"))
-    vocabulary = words.groupBy("palabra").agg(F.count(F.lit(1)).alias("n"))
-    others = cut(readings(spread(vocabulary, "palabra")))
-    more = cut(slips(spread(vocabulary, "palabra"), others).groupBy("palabra").agg(F.collect_set("hacia").alias("cercanas")))
-    others = cut(others.join(more, "palabra", "full"))
-    read_as = words.join(_small(others), "palabra")  # words with readings only
-    entries = lambda c: F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("palabra", c)))).alias(c)
-    read_as = read_as.groupBy("rid").agg(entries("lecturas"), entries("cercanas"))
-    full = data.join(read_as, "rid", "left")
-
-    def keys(batches):
-        for pdf in batches:
-            rows = []
-            for rid, clave, fecha, phone, mail, paper, candidates, often, own, more, wide in zip(*(pdf[c] for c in ("rid", "clave", "fecha", "celular", "email", "documento", "candidatos", "frecuentes", "palabras", "lecturas", "cercanas"))):
-                person = clave[0] == "p"
-                more = dict(more) if more is not None else {}
-                wide = dict(wide) if wide is not None else {}
-                named = [[w, *sorted(more.get(w, ()))] for w in sorted(own)]  # that a name is one person's alone is a matter of likely readings
-                sets = [[*x, *sorted(wide.get(x[0], ()))] for x in named]
-                given = [(f, v) for f, v in (("celular", phone), ("email", mail), ("documento", paper)) if v]
-                out = {_key(f, v) for f, v in given if f not in often}
-                heavy = [x for x in given if x[0] in often]
-                rows += [(_key("x", c), rid, clave[0], 4, len(own)) for c in ([clave[1:]] if person else candidates)]
-                for f, v in heavy:
-                    if fecha is not None and fecha == fecha:
-                        out |= {_key(f, v, *x) for x in near_dates(fecha)}
-                    out |= {_key(f, v, *sorted(p)) for s, t in combinations(sets, 2) for p in _products(s, t)}
-                    rows += [(_key(f, v, "palabra", w), rid, clave[0], 1, len(own)) for w in {w for s in sets for w in s}]
-                if len(sets) > MOST_WORDS:
-                    sets = named = []
-                pairs = {tuple(sorted(p)) for s, t in combinations(sets, 2) for p in _products(s, t)}
-                triples = {tuple(sorted(p)) for s in combinations(sets, 3) for p in _products(*s)}
-                if fecha is not None and fecha == fecha:
-                    y, m, d = fecha.year, fecha.month, fecha.day
-                    out |= {_key("b", fecha, *p) for p in pairs}
-                    low, high = min(m, d), max(m, d)
-                    parts = {("ym", y, m), ("md", m, d), ("y", y, low, high), ("yd", y, d)}
-                    out |= {_key("t", *part, *p) for p in triples for part in parts}
-                rows += [(k, rid, clave[0], 2, len(own)) for k in out]
-                if fecha is not None and fecha == fecha:
-                    rows += [(_key("o", fecha, w), rid, clave[0], 1, len(own)) for s in sets for w in s]
-                # a dated record is alone with an undated person of its name, as dated persons meet it by date
-                kinds = (["todas"] if fecha is None or fecha != fecha or person else []) + (["sin fecha"] if (fecha is None or fecha != fecha) == person else [])
-                rows += [(_key("n", kind, *p), rid, clave[0], 3, len(own)) for p in {tuple(sorted(p)) for s in combinations(named, 3) for p in _products(*s)} for kind in kinds]
-            yield pd.DataFrame(rows, columns=["k", "rid", "de", "clase", "n"])
-
-    keyed = full.select("rid", "clave", "fecha", "celular", "email", "documento", "candidatos", "frecuentes", "palabras", "lecturas", "cercanas").mapInPandas(keys, "k long, rid long, de string, clase int, n int")
-    keyed = cut(keyed)
-    by_key = keyed.filter("clase < 3")
-    left = by_key.filter("de <> 'p' and (clase = 2 or n = 1)").select("k", F.col("rid").alias("a"))
-    right = by_key.select("k", F.col("rid").alias("b"), "de")
-    # a single word meets longer names from either side
-    single = by_key.filter("clase = 1 and de = 'p' and n = 1").select("k", F.col("rid").alias("b"), "de")
-    longer = by_key.filter("clase = 1 and de <> 'p' and n > 1").select("k", F.col("rid").alias("a"))
-    pairs = left.join(right, "k").unionByName(longer.join(single, "k")).filter("de = 'p' and a <> b or a < b or (de <> 'p' and a > b)")
-    pairs = pairs.select(F.when((F.col("de") == "p") | (F.col("a") < F.col("b")), F.col("a")).otherwise(F.col("b")).alias("a"), F.when((F.col("de") == "p") | (F.col("a") < F.col("b")), F.col("b")).otherwise(F.col("a")).alias("b"), F.lit(False).alias("unico"))
-    pairs = pairs.filter("a <> b")
-    suggested = keyed.filter("clase = 4 and de <> 'p'").select("k", F.col("rid").alias("a")).join(keyed.filter("clase = 4 and de = 'p'").select("k", F.col("rid").alias("b")), "k")
-    pairs = pairs.unionByName(suggested.select("a", "b", F.lit(False).alias("unico")))
-    # three words that one person alone has: at most one row a key on the persons' side
-    alone = keyed.filter("clase = 3 and de = 'p'").groupBy("k").agg(F.min("rid").alias("b"), F.max("rid").alias("otro")).filter("b = otro").select("k", "b")
-    by_name = keyed.filter("clase = 3 and de <> 'p'").select("k", F.col("rid").alias("a")).join(alone, "k").select("a", "b", F.lit(True).alias("unico"))
-    pairs = pairs.unionByName(by_name).groupBy("a", "b").agg(F.max("unico").alias("unico"))
-
-    fields = ["clave", "fecha", "celular", "email", "documento", "candidatos", "comunes", "palabras", "iniciales"]
-    side = lambda s: data.select(F.col("rid").alias(s), F.struct(*fields).alias(f"r{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("unico", "ra", "rb")
-
-    def verify(batches):
-        for pdf in batches:
-            rows = []
-            for unique, x, y in zip(pdf["unico"], pdf["ra"], pdf["rb"]):
-                score = judge(_record(x, unique), _record(y, unique))
-                if score is not None:
-                    rows.append((x["clave"], y["clave"], score))
-            yield pd.DataFrame(rows, columns=["a", "b", "puntaje"])
-
-    linked = cut(both.mapInPandas(verify, "a string, b string, puntaje double"))
-    groups = _groups(linked)
-
-    def alike(batches):
-        for pdf in batches:
-            kept = []
-            for name, when, phone, mail, paper in zip(*(pdf[c] for c in ("nombre", "fecha", "celular", "email", "documento"))):
-                row = {"clave": "i", "fecha": when if when == when else None, "celular": phone, "email": mail, "documento": paper, "candidatos": set(), "comunes": set(), "words": words_of(name), "unico": False}
-                kept.append(bool(row["words"][0]) and judge(row, row) is not None)
-            yield pdf.loc[kept, ["clave", "primera"]]
-
-    # copies follow their first; copies of a record that nothing else is linked to form a group if their own data identify them
-    with_first = copies.select("clave", "primera").join(groups.withColumnRenamed("clave", "primera"), "primera", "left")
-    followers = with_first.filter("persona is not null and clave <> primera").select("clave", "persona")
-    alone_copies = copies.join(groups.select(F.col("clave").alias("primera")), "primera", "left_anti").mapInPandas(alike, "clave string, primera string")
-    return groups.unionByName(followers).unionByName(alone_copies.select("clave", F.col("primera").alias("persona")))
-
-
-def _products(*sets: list[str]):
-    if len(sets) == 1:
-        for w in sets[0]:
-            yield (w,)
-        return
-    for w in sets[0]:
-        for rest in _products(*sets[1:]):
-            if w not in rest:
-                yield (w, *rest)
-
-
-def _record(row: dict, unique: bool) -> dict:
-    when = row["fecha"]
-    return {
-        "clave": row["clave"], "fecha": None if when is None or when != when else when, "celular": row["celular"], "email": row["email"], "documento": row["documento"],
-        "candidatos": set(row["candidatos"]), "comunes": set(row["comunes"]), "words": (list(row["palabras"]), list(row["iniciales"])), "unico": unique,
-    }
+    n = tasks(spark)
+    base = normalised(records)
+    data = cut(_read(base, n))
+    person = F.when(_person("clave"), F.xxhash64("clave"))
+    held = _blocks(data.select("clave", "documento", "email", "celular", "dia", "candidatos")).groupBy("bloque", "orden").agg(F.count(F.lit(1)).alias("n"), F.min(person).alias("x"), F.max(person).alias("y"))
+    held = cut(held.select("bloque", "n", ((F.col("orden") <= 2) & (F.col("x") < F.col("y"))).alias("varias")).filter((F.col("n") > IN_MEMORY) | F.col("varias")))
+    counts = held.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n") > IN_MEMORY).alias("grandes")).first()
+    small = counts["n"] <= BROADCAST_ROWS
+    data = cut(_with_common(data, held, small))
+    entries = _blocks(data).select("bloque", "orden", "clave", "palabras", "datos")
+    pairs = _by_words(data).unionByName(_nameless(data)).distinct()
+    if counts["grandes"]:
+        large = held.filter(F.col("n") > IN_MEMORY).select("bloque")
+        large = F.broadcast(large) if small else large
+        pairs = pairs.unionByName(_by_join(entries.join(large, "bloque", "left_semi"))).distinct()
+        entries = entries.join(large, "bloque", "left_anti")
+    linked = cut(_in_memory(entries, n).unionByName(_verified(pairs, data)))
+    return _followed(base, data, _groups(linked))
+
+
+def _followed(base: DataFrame, data: DataFrame, groups: DataFrame) -> DataFrame:
+    """groups with the copies of their records; copies of a record that nothing else is linked to form a group if their own data identify them."""
+
+    def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [Record(x) for x in batch.column("datos").to_pylist()]
+            found = [judge(r, r) for r in rows]
+            yield batch.filter(pa.array([x is not None and not x[1] for x in found])).select(["primera", "copia"])
+
+    first = data.filter(~_person("clave")).select("perfil", F.col("clave").alias("primera"))
+    copies = base.filter(~_person("clave")).select("perfil", F.col("clave").alias("copia")).join(first, "perfil").filter("copia <> primera").select("primera", "copia").distinct()
+    led = groups.withColumnRenamed("clave", "primera")
+    followers = copies.join(led, "primera").select(F.col("copia").alias("clave"), "persona")
+    lonely = copies.join(led, "primera", "left_anti").join(data.withColumn("primera", F.col("clave")), "primera")
+    lonely = lonely.select("primera", "copia", "datos").mapInArrow(alike, "primera string, copia string")
+    own = lonely.select(F.explode(F.array("primera", "copia")).alias("clave"), F.col("primera").alias("persona")).distinct()
+    return groups.unionByName(followers).unionByName(own)
 
 
 def _groups(linked: DataFrame) -> DataFrame:
-    """clave, persona from verified links: the best person, else the person of the best linked record, else the smallest key reached."""
-    best = F.max_by("b", F.struct("puntaje", "b"))
-    person = linked.filter("b like 'p%'").groupBy("a").agg(best.alias("persona")).select(F.col("a").alias("clave"), "persona")
-    direct = linked.filter("b not like 'p%'")
-    edges = direct.select("a", "b", "puntaje").unionByName(direct.select(F.col("b").alias("a"), F.col("a").alias("b"), "puntaje"))
-    label = edges.select(F.col("a").alias("clave")).distinct().join(person, "clave", "full")
-    # records without a person take that of the best record linked to them, for as long as there are such; then smallest keys
-    label = cut(label)
-    while True:
-        near = edges.join(label.filter("persona is not null").select(F.col("clave").alias("b"), "persona"), "b").join(label.filter("persona is null").select(F.col("clave").alias("a")), "a", "left_semi")
-        given = cut(near.groupBy("a").agg(F.max_by("persona", F.struct("puntaje", "persona")).alias("nueva")).select(F.col("a").alias("clave"), "nueva"))
-        if not given.count():
-            break
-        label = cut(label.join(given, "clave", "left").select("clave", F.coalesce("persona", "nueva").alias("persona")))
-    done = label.filter("persona is not null")
-    rest = cut(label.filter("persona is null").select("clave", F.col("clave").alias("persona")))
-    inner = cut(edges.join(rest.select(F.col("clave").alias("a")), "a", "left_semi").select("a", "b"))
-    while True:
-        near = inner.join(rest.select(F.col("clave").alias("b"), "persona"), "b").groupBy("a").agg(F.min("persona").alias("menor"))
-        moved = cut(rest.join(near, rest["clave"] == near["a"], "left").select("clave", F.least("persona", F.coalesce("menor", "persona")).alias("persona"), (F.col("menor") < F.col("persona")).alias("cambia")))
-        rest = moved.select("clave", "persona")
-        if not moved.filter("cambia").limit(1).count():
+    """clave, persona from links: the best person, else by group the person of the best record linked to it, else its smallest key."""
+    rank = F.struct("puntaje", "b")
+    other = F.when(F.col("solo_nombre"), F.col("b"))
+    person = linked.filter(_person("b")).groupBy("a").agg(F.max_by(F.when(~F.col("solo_nombre"), F.col("b")), F.when(~F.col("solo_nombre"), rank)).alias("mejor"), F.min(other).alias("x"), F.max(other).alias("y"))
+    person = person.select(F.col("a").alias("clave"), F.coalesce("mejor", F.when(F.col("x") == F.col("y"), F.col("x"))).alias("persona")).filter("persona is not null")
+    direct = linked.filter(~_person("b") & ~F.col("solo_nombre")).select("a", "b", "puntaje")
+    edges = direct.unionByName(direct.select(F.col("b").alias("a"), F.col("a").alias("b"), "puntaje"))
+    edges = edges.join(person.select(F.col("clave").alias("a")), "a", "left_anti").join(person.select(F.col("clave").alias("b"), "persona"), "b", "left")
+    person, edges = cut(person), cut(edges)  # from records without a person; persona: that of the other one
+    group = components(edges.filter("persona is null").select("a", "b"))
+    edges = edges.join(group.withColumnRenamed("clave", "a"), "a", "left").withColumn("grupo", F.coalesce("grupo", "a"))
+    adopted = edges.groupBy("grupo").agg(F.max_by("persona", F.when(F.col("persona").isNotNull(), F.struct("puntaje", "persona"))).alias("persona"))
+    rest = edges.select(F.col("a").alias("clave"), "grupo").distinct().join(adopted, "grupo").select("clave", F.coalesce("persona", "grupo").alias("persona"))
+    return person.unionByName(rest)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """clave, grupo: the smallest key of the connected component of each key. edges: a, b, in both directions.
+
+    Large-star and small-star contraction: each round links every node's larger neighbours, then its smaller ones, to the smallest; the rounds
+    grow with the logarithm of the component. Minima are aggregated and joined back, so no neighbourhood is collected.
+    """
+    star = cut(edges.filter("a > b").distinct())  # from the larger key to the smaller
+    before = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 2**31)).first()
+    while before[0]:
+        both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        joined = large.join(least, "a")
+        small = joined.select("a", F.col("m").alias("b")).unionByName(joined.select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
+        now = cut(small)
+        after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 2**31)).first()
+        discard(star)
+        star = now
+        if after == before:
             break
-    return done.unionByName(rest)
+        before = after
+    return star.select(F.col("a").alias("clave"), F.col("b").alias("grupo")).unionByName(star.select(F.col("b").alias("clave"), F.col("b").alias("grupo")).distinct())
 
 
 def pairs_of(groups: DataFrame) -> DataFrame:
