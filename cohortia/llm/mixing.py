@@ -1,23 +1,27 @@
 """Mixing of sources to target weights of a total size in tokens (problem 7).
 
 Each source of the target gives its weight of the total, or all it has at its highest number of repetitions when that is less; such
-sources are reported. The documents of a source form a stream in pseudo-random order, repeated as a whole, and the stream is cut into
-blocks. Block i of a source with weight w of all blocks gets the release time floor(i / w) and the deadline ceil((i + 1) / w)
-(Pfair); earliest deadline first among the released blocks then interleaves the sources, each within one block of its share at any time.
+sources are reported, with the tokens they leave out. The documents of a source form a stream in pseudo-random order, repeated as a whole, and
+the stream is cut into blocks. Block i of a source with weight w of all blocks gets the release time floor(i / w) and the deadline
+ceil((i + 1) / w) (Pfair); earliest deadline first among the released blocks then interleaves the sources, each within a block of its share.
+
+Documents stay whole: one belongs to the block that holds its middle, so a source's stream is never more than half a document ahead of or behind
+its blocks. With n sources, blocks of q tokens and documents of at most m tokens, each source is at any time within `cota` = (n + 1) q + n m / 2
+tokens of its share of what has been mixed (a source's own block and document, its part of those of the others, and the unfilled last blocks);
+the report has the largest deviation that occurs beside it. q is 1 / BLOCKS of the mix, so at scale m no longer counts.
 
 Sizes: the token counts of all texts are taken; the positions of documents in their streams come from two-level prefix sums over
 2**BUCKET_BITS ranges of the order's hash, so that no source, however large, is summed in one task. The targets (a row per source; the table is of
 fixed size) and the block table (`blocks` rows and one per source) are broadcast.
 
 Defined results: null and empty texts have 0 tokens and aren't mixed; documents of sources without a target, or with a null source, aren't
-mixed; a source without texts supplies 0; a null weight or repetition count counts as 0; repeated target rows count once. A document is the last of its source's
-stream if it begins before the source's share ends, so shares exceed targets by less than a document.
+mixed; a source without texts supplies 0; a null weight or repetition count counts as 0; repeated target rows count once. A source's share ends with the
+nearest document: it differs from the target by half a document at most.
 """
 
 from __future__ import annotations
 
 import heapq
-from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -63,13 +67,12 @@ def sized_texts(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
 def pfair_turns(counts: dict[str, int]) -> list[tuple[str, int, int]]:
     """(source, block, turn) for the numbers of blocks of the sources: earliest deadline first among the released blocks."""
     total = sum(counts.values())
-    share = {s: Fraction(n, total) for s, n in counts.items() if n}
 
     def window(source: str, block: int) -> tuple[int, int]:
-        w = share[source]
-        return int(block / w), -int(-((block + 1) / w) // 1)
+        n = counts[source]
+        return block * total // n, -(-(block + 1) * total // n)
 
-    waiting = [(0, s, 0) for s in sorted(share)]
+    waiting = [(0, s, 0) for s in sorted(counts) if counts[s]]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
     out = []
@@ -97,11 +100,27 @@ def schedule(assigned: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     return wanted.groupBy("todas").applyInPandas(run, "source string, bloque long, turno long, block_tokens long")
 
 
+def deviations(by_turn: DataFrame) -> DataFrame:
+    """source, mezclado, registros, mayor, desviacion: the furthest that a source is from its share of what has been mixed, in tokens, at any time.
+
+    by_turn: a row per turn. While others have their turns a source only falls back, so the extremes are at the ends of its own turns and at the
+    end of the mix (where all shares are met). One window runs over all turns, which are `blocks` and one per source.
+    """
+    so_far = Window.orderBy("turno")
+    own = Window.partitionBy("source").orderBy("turno")
+    running = by_turn.withColumn("todo", F.sum("dado").over(so_far)).withColumn("propio", F.sum("dado").over(own))
+    totals = Window.partitionBy("source")
+    share = F.sum("dado").over(totals) / F.sum("dado").over(Window.partitionBy())
+    apart = running.withColumn("parte", share).withColumn("d", F.greatest(F.abs(F.col("propio") - F.col("parte") * F.col("todo")), F.abs(F.col("propio") - F.col("dado") - F.col("parte") * (F.col("todo") - F.col("dado")))))
+    return apart.groupBy("source").agg(F.sum("dado").alias("mezclado"), F.sum("registros").alias("registros"), F.max("mayor").alias("mayor"), F.max("d").alias("desviacion"))
+
+
 def mix(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, blocks: int = BLOCKS, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The mix and the report.
 
     Mix: doc_id, source, repeticion (from 0), n_tokens, turno (of the block), posicion (token position in the source's stream);
-    its order is by turno, posicion. Report: a row per source of the targets with target and actual tokens and shares.
+    its order is by turno, posicion. Report: a row per source of the targets with target and actual tokens and shares, whether all repetitions
+    fell short of the target (agotada) and by how much (faltan), the largest deviation at any time and its bound.
     """
     ordered = sized_texts(documents, path).filter("n_tokens > 0").withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
     sized = cut(ordered.withColumn("cubo", F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int")))
@@ -116,7 +135,8 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, blocks
         sized.join(shares, "source")
         .join(buckets, ["source", "cubo"])
         .withColumn("inicio", F.col("antes") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-        .withColumn("veces", F.ceil((F.col("asignado") - F.col("inicio")) / F.col("tokens")).cast("int"))
+        .withColumn("doble", 2 * F.col("inicio") + F.col("n_tokens"))  # twice the middle
+        .withColumn("veces", F.ceil((2 * F.col("asignado") - F.col("doble")) / (2 * F.col("tokens"))).cast("int"))
         .filter("veces > 0")
         .withColumn("repeticion", F.explode(F.sequence(F.lit(0), F.col("veces") - 1)))
         .withColumn("posicion", F.col("repeticion") * F.col("tokens") + F.col("inicio"))
@@ -124,16 +144,21 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, blocks
     turns = schedule(assigned, blocks)
     block_tokens = turns.agg(F.max("block_tokens")).scalar()
     mixed = (
-        stream.withColumn("bloque", F.floor(F.col("posicion") / block_tokens))
+        stream.withColumn("bloque", F.floor((2 * F.col("posicion") + F.col("n_tokens")) / (2 * block_tokens)))
         .join(F.broadcast(turns.drop("block_tokens")), ["source", "bloque"])
         .select("doc_id", "source", "repeticion", "n_tokens", "turno", "posicion")
     )
-    given = mixed.groupBy("source").agg(F.sum("n_tokens").alias("mezclado"), F.count(F.lit(1)).alias("registros"))
+    by_turn = mixed.groupBy("turno", "source").agg(F.sum("n_tokens").alias("dado"), F.count(F.lit(1)).alias("registros"), F.max("n_tokens").alias("mayor"))
+    given = deviations(by_turn)
     everything = Window.partitionBy()
     report = (
         assigned.join(given, "source", "left")
-        .withColumn("mezclado", F.coalesce("mezclado", F.lit(0)))
-        .withColumn("registros", F.coalesce("registros", F.lit(0)))
+        .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("mezclado", "registros")})
+        .withColumn("desviacion", F.coalesce("desviacion", F.lit(0.0)))
         .withColumn("proporcion", F.col("mezclado") / F.nullif(F.sum("mezclado").over(everything), F.lit(0)))
+        .withColumn("agotada", (F.col("mezclado") == F.col("alcanzable")) & (F.col("mezclado") < F.col("objetivo")))
+        .withColumn("faltan", F.when(F.col("agotada"), F.col("objetivo") - F.col("mezclado")).otherwise(0.0))
+        .withColumn("mayor", F.coalesce(F.max("mayor").over(everything), F.lit(0)))
+        .withColumn("cota", (F.count(F.lit(1)).over(everything) + 1) * F.coalesce(block_tokens, F.lit(1)) + F.count(F.lit(1)).over(everything) * F.col("mayor") / 2)
     )
     return mixed, report

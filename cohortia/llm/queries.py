@@ -73,8 +73,8 @@ def p6_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    sized = mixing.sized_texts(table(spark, d, "documents"))
-    return mixing.assignments(mixing.supply(sized), table(spark, d, "mezcla_objetivo")).filter("agotada").select("source")
+    """Sources of which the mix has all repetitions, and less than their target."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mezcla_objetivo"))[1].filter("agotada").select("source")
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -85,6 +85,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mezcla_objetivo"))[1]
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source stays within the bound of its share at any time, ends within a document of its target, and is repeated no more than allowed."""
+    mixed, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mezcla_objetivo"))
+    copies = mixed.groupBy("source").agg((F.max("repeticion") + 1).alias("veces"), F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id", "repeticion").alias("distintos"))
+    near = F.abs(F.col("mezclado") - F.col("asignado")) <= F.col("mayor")
+    return report.join(copies, "source", "left").select(
+        "source", (F.col("desviacion") <= F.col("cota")).alias("cerca_siempre"), near.alias("cerca_al_final"), (F.coalesce("veces", F.lit(0)) <= F.col("tope_repeticiones")).alias("repeticiones"), F.coalesce(F.col("n") == F.col("distintos"), F.lit(True)).alias("sin_duplicados")
+    )
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     cut = splitting.split_texts(_texts(spark, d), only_long=True)
     return cut.filter((F.col("pieza") == 0) & (F.col("tokens_texto") > splitting.LIMIT)).select("doc_id")
@@ -94,7 +104,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(_texts(spark, d), only_long=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p3_found, p3_groups, p5_found, p5_misses, p6_ids, p6_round_trip, p6_spans, p7_found, p7_mix, p7_shares, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p3_found, p3_groups, p5_found, p5_misses, p6_ids, p6_round_trip, p6_spans, p7_found, p7_mix, p7_shares, p7_invariants, p8_found, p8_pieces)}
 
 SQL = {
     "p1_found": """
@@ -107,5 +117,6 @@ with o as (select distinct * from objetivo_composicion),
  n as (select panel_id, dimension, categoria, count(distinct id_persona) as n from x group by all)
 select panel_id, dimension, categoria from o left join n using (panel_id, dimension, categoria)
 where coalesce(n, 0) < greatest(proporcion_objetivo * n_muestra, minimo_categoria)""",
+    "p7_invariants": "select distinct source, true as cerca_siempre, true as cerca_al_final, true as repeticiones, true as sin_duplicados from mezcla_objetivo",
     "p6_round_trip": "select doc_id, coalesce(text, '') as text from documents",
 }

@@ -1,5 +1,6 @@
 """Mixes of sources."""
 
+import random
 from fractions import Fraction
 from pathlib import Path
 
@@ -40,7 +41,7 @@ def test_mix_and_report(spark):
     out = {r["source"]: r for r in report.collect()}
     assert set(out) == {"a", "b", "c", "vacia"}
     per = len(tokens.vocabulary(tokens.VOCABULARY).encode(["uno dos tres " * 5])[0])
-    assert 500 <= out["a"]["mezclado"] < 500 + per and not out["a"]["agotada"]
+    assert abs(out["a"]["mezclado"] - 500) <= per / 2 and not out["a"]["agotada"]
     assert out["b"]["agotada"] and out["b"]["mezclado"] == 2 * out["b"]["tokens"] and out["b"]["registros"] == 6
     assert out["c"]["tokens"] == 0 and out["c"]["agotada"] and out["vacia"]["mezclado"] == 0
     assert abs(sum(r["proporcion"] for r in out.values()) - 1) < 1e-9
@@ -55,8 +56,27 @@ def test_mix_and_report(spark):
 @needs_files
 def test_unmet_targets_and_empty_tables(spark):
     d, g = spark.createDataFrame([(1, "a", "uno dos", "x")], DOCS), spark.createDataFrame([("a", 1.0, 1, 100), ("b", 0.5, None, 100), ("c", None, 1, 100)], GOAL)
-    found = mixing.assignments(mixing.supply(mixing.sized_texts(d)), g).filter("agotada")
+    found = mixing.mix(d, g)[1].filter("agotada")
     assert sorted(r["source"] for r in found.collect()) == ["a", "b"]
     mixed, report = mixing.mix(d.limit(0), g)
     assert mixed.count() == 0 and report.count() == 3
     assert mixing.mix(d, g.limit(0))[0].count() == 0
+
+
+@needs_files
+def test_no_prefix_of_the_mix_is_further_from_its_shares_than_the_bound(spark):
+    rnd = random.Random(4)
+    docs = [(k, rnd.choice("aaaabbc"), "uno dos " * rnd.choice([1, 1, 2, 5, 60]), "x") for k in range(400)]
+    goals = [("a", 0.5, 3, 9000), ("b", 0.4, 4, 9000), ("c", 0.1, 1, 9000)]
+    mixed, report = mixing.mix(spark.createDataFrame(docs, DOCS), spark.createDataFrame(goals, GOAL))
+    rows = sorted(mixed.collect(), key=lambda r: (r["turno"], r["posicion"]))
+    out = {r["source"]: r for r in report.collect()}
+    total, given_, worst = 0, dict.fromkeys("abc", 0), dict.fromkeys("abc", 0.0)
+    for r in rows:
+        total += r["n_tokens"]
+        given_[r["source"]] += r["n_tokens"]
+        for s in "abc":
+            worst[s] = max(worst[s], abs(given_[s] - out[s]["proporcion"] * total))
+    assert given_ == {s: out[s]["mezclado"] for s in "abc"}
+    for s in "abc":
+        assert worst[s] <= out[s]["desviacion"] + 1e-6 <= out[s]["cota"]
