@@ -6,9 +6,10 @@ the stream is cut into blocks. Block i of a source with weight w of all blocks g
 ceil((i + 1) / w) (Pfair); earliest deadline first among the released blocks then interleaves the sources, each within a block of its share.
 
 Documents stay whole: one belongs to the block that holds its middle, so a source's stream is never more than half a document ahead of or behind
-its blocks. With n sources, blocks of q tokens and documents of at most m tokens, each source is at any time within `cota` = (n + 1) q + n m / 2
-tokens of its share of what has been mixed (a source's own block and document, its part of those of the others, and the unfilled last blocks);
-the report has the largest deviation that occurs beside it. q is 1 / BLOCKS of the mix, so at scale m no longer counts.
+its blocks. With n sources, blocks of q tokens and documents of at most m_s tokens in source s of share w_s, each source is at any time within
+`cota` = 3 q + m_s + w_s (2 n q + sum of all m) tokens of its share of what has been mixed: one block by the schedule, one for the unfilled last block,
+half a document for the cut at block edges and half for the end, its part of the same of the others, and one block within a turn. The report has the
+largest deviation that occurs beside it. q is 1 / BLOCKS of the mix, so at scale the documents no longer count.
 
 Sizes: the token counts of all texts are taken; the positions of documents in their streams come from two-level prefix sums over
 2**BUCKET_BITS ranges of the order's hash, so that no source, however large, is summed in one task. The targets (a row per source; the table is of
@@ -158,7 +159,9 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, blocks
         .withColumn("proporcion", F.col("mezclado") / F.nullif(F.sum("mezclado").over(everything), F.lit(0)))
         .withColumn("agotada", (F.col("mezclado") == F.col("alcanzable")) & (F.col("mezclado") < F.col("objetivo")))
         .withColumn("faltan", F.when(F.col("agotada"), F.col("objetivo") - F.col("mezclado")).otherwise(0.0))
-        .withColumn("mayor", F.coalesce(F.max("mayor").over(everything), F.lit(0)))
-        .withColumn("cota", (F.count(F.lit(1)).over(everything) + 1) * F.coalesce(block_tokens, F.lit(1)) + F.count(F.lit(1)).over(everything) * F.col("mayor") / 2)
+        .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("mayor", "proporcion")})
+        .withColumn("q", F.coalesce(block_tokens, F.lit(1)))
+        .withColumn("cota", 3 * F.col("q") + F.col("mayor") + F.col("proporcion") * (2 * F.count(F.lit(1)).over(everything) * F.col("q") + F.sum("mayor").over(everything)))
+        .drop("q")
     )
     return mixed, report
