@@ -72,9 +72,11 @@ class Reference:
         for w in self.of_whole:
             for x in deletions(w, 2):
                 self.deleted_whole[x].add(w)
-        self.by_letter: dict[str, list[str]] = defaultdict(list)
+        self.by_letters: dict[str, list[str]] = defaultdict(list)  # the words that begin with a letter, alone and with each of their other letters
         for w in self.of_word:
-            self.by_letter[w[:1]].append(w)
+            for x in {w[:1], *(w[:1] + ch for ch in w[1:])}:
+                self.by_letters[x].append(w)
+        self.longest_whole = max(map(len, self.of_whole), default=0)
         self.longest = max(map(len, self.of_word), default=0)
         self._near: dict[str, dict[str, float]] = {}
 
@@ -92,7 +94,7 @@ class Reference:
                     cost = weighted_distance(word, w, 0.5 * longest) / longest
                     if cost <= 0.5:
                         out[w] = cost
-        for w in self.by_letter.get(word[:1], ()):
+        for w in min((self.by_letters.get(word[:1] + ch, ()) for ch in word[1:]), key=len, default=self.by_letters.get(word[:1], ())):
             if abbreviates(word, w):
                 cost = (0.12 if w.startswith(word) else 0.2) + (0.08 if len(word) == 1 else 0)
                 out[w] = min(cost, out.get(w, 1))
@@ -145,7 +147,7 @@ class Reference:
         candidates = {n for found in near for w in found for n in self.of_word[w]}
         found = [(self.cost(typed, near, n), -self.frequency[n], self.ids[n]) for n in candidates]
         whole = "".join(all_words)
-        wholes = {w for x in deletions(whole, 2) for w in self.deleted_whole.get(x, ())} if len(whole) <= 40 else set()
+        wholes = {w for x in deletions(whole, 2) for w in self.deleted_whole.get(x, ())} if len(whole) <= self.longest_whole + 2 else set()  # beyond, none is near
         for w in wholes:
             longest = max(len(w), len(whole))
             c = weighted_distance(whole, w, 0.5 * longest) / longest
@@ -169,7 +171,7 @@ class Reference:
         whole = "".join(all_words)
         for n, w in enumerate(self.whole):
             longest = max(len(w), len(whole))
-            if len(whole) <= 40 and deletions(whole, 2) & deletions(w, 2):
+            if abs(len(whole) - len(w)) <= 2 and deletions(whole, 2) & deletions(w, 2):
                 found.append((weighted_distance(whole, w, 0.5 * longest) / longest, -self.frequency[n], self.ids[n]))
         cost, _, entry = min(found)
         return entry if cost <= threshold else 0

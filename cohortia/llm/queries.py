@@ -23,6 +23,18 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return quotas.sample(table(spark, d, "membresia"), table(spark, d, "v_demografia"), table(spark, d, "objetivo_composicion"))[1]
 
 
+def p1_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per sampled panel: persons drawn, whether all are active members drawn once, and whether the report counts them rightly."""
+    membership, people, goals = table(spark, d, "membresia"), table(spark, d, "v_demografia"), table(spark, d, "objetivo_composicion")
+    drawn, report = quotas.sample(membership, people, goals)
+    active = membership.filter("estado = 'activo'").select("panel_id", "id_persona").distinct().withColumn("activa", F.lit(True))
+    by_panel = drawn.join(active, ["panel_id", "id_persona"], "left").groupBy("panel_id").agg(F.count(F.lit(1)).alias("personas"), F.count_if("activa").alias("activas"), F.count_distinct("id_persona").alias("distintas"))
+    told = report.groupBy("panel_id", "dimension").agg(F.sum("asignados").alias("n")).groupBy("panel_id").agg(F.max("n").alias("informadas"))
+    minima = report.groupBy("panel_id").agg(F.bool_and((F.col("asignados") >= F.least("minimo_categoria", "disponibles")) | (F.col("causa") == "otras_dimensiones")).alias("minimos"))
+    both = by_panel.join(told, "panel_id").join(minima, "panel_id")
+    return both.select("panel_id", "personas", ((F.col("activas") == F.col("personas")) & (F.col("distintas") == F.col("personas")) & (F.col("informadas") <= F.col("personas"))).alias("validas"), "minimos")
+
+
 def _groups(spark: SparkSession, d: str) -> DataFrame:
     columns = ("nombre", "fecha_nacimiento", "celular", "email", "documento")
     people = table(spark, d, "persona", "id_persona", *columns)
@@ -104,7 +116,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(_texts(spark, d), only_long=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p3_found, p3_groups, p5_found, p5_misses, p6_ids, p6_round_trip, p6_spans, p7_found, p7_mix, p7_shares, p7_invariants, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p1_invariants, p3_found, p3_groups, p5_found, p5_misses, p6_ids, p6_round_trip, p6_spans, p7_found, p7_mix, p7_shares, p7_invariants, p8_found, p8_pieces)}
 
 SQL = {
     "p1_found": """
@@ -117,6 +129,10 @@ with o as (select distinct * from objetivo_composicion),
  n as (select panel_id, dimension, categoria, count(distinct id_persona) as n from x group by all)
 select panel_id, dimension, categoria from o left join n using (panel_id, dimension, categoria)
 where coalesce(n, 0) < greatest(proporcion_objetivo * n_muestra, minimo_categoria)""",
+    "p1_invariants": """
+with o as (select panel_id, max(coalesce(n_muestra, 0)) as n from objetivo_composicion where panel_id is not null group by 1),
+ m as (select panel_id, count(distinct id_persona) as hay from membresia where estado = 'activo' and id_persona is not null group by 1)
+select panel_id, least(n, hay) as personas, true as validas, true as minimos from o join m using (panel_id) where least(n, hay) > 0""",
     "p7_invariants": "select distinct source, true as cerca_siempre, true as cerca_al_final, true as repeticiones, true as sin_duplicados from mezcla_objetivo",
     "p6_round_trip": "select doc_id, coalesce(text, '') as text from documents",
 }

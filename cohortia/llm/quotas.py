@@ -118,31 +118,35 @@ def allocate(counts: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray
             g = g + left * (n - g.sum()) / max(left.sum(), 1e-9)
         wanted.append(g * n / g.sum())
     x = counts * n / counts.sum()
-    for _ in range(60):
+    while True:  # until a round moves no cell by a thousandth of a place
+        before = x
         for code, g in zip(codes, wanted):
             now = np.bincount(code, x, len(g))
             x = np.minimum(x * (g / np.maximum(now, 1e-12))[code], counts)
         gap = n - x.sum()
         if gap > 0 and (room := counts - x).sum() > 0:
             x = x + room * min(1, gap / room.sum())
+        if np.abs(x - before).max() < 1e-3:
+            break
     x = np.minimum(x * (n / x.sum()), counts)
     out = np.floor(x + 1e-9).astype(int)
     order = np.lexsort((np.arange(len(x)), -(x - out)))
     while (short := n - out.sum()) > 0:
         open_ = order[out[order] < counts[order]]
         out[open_[:short]] += 1
-    for _ in range(200):  # rounding leaves small deviations; single places move while that lessens them
-        gaps = [np.bincount(k, out, len(g)) - g for k, g in zip(codes, wanted)]
-        over = sum(gap[k] for gap, k in zip(gaps, codes))
+    apart = lambda q: sum(np.abs(np.bincount(k, q, len(g)) - g).sum() for k, g in zip(codes, wanted))
+    far = apart(out)
+    while True:  # rounding leaves small deviations; single places move while that lessens them, which ends as there are finitely many quotas
+        over = sum((np.bincount(k, out, len(g)) - g)[k] for k, g in zip(codes, wanted))
         gives, takes = np.flatnonzero(out > 0), np.flatnonzero(out < counts)
         if not len(gives) or not len(takes):
             break
         moved = out.copy()
         moved[gives[np.argmax(over[gives])]] -= 1
         moved[takes[np.argmin(over[takes])]] += 1
-        if sum(np.abs(np.bincount(k, moved, len(g)) - g).sum() for k, g in zip(codes, wanted)) >= sum(np.abs(gap).sum() for gap in gaps) - 1e-9:
+        if (nearer := apart(moved)) >= far - 1e-9:
             break
-        out = moved
+        out, far = moved, nearer
     # minima: single places move to a cell of the category from the cell whose categories are furthest above their goals
     for d, least in enumerate(minima):
         have = np.bincount(codes[d], counts, len(least))
@@ -184,7 +188,8 @@ def quotas(cells: DataFrame, targets: DataFrame) -> DataFrame:
 def sample(membership: DataFrame, people: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The sample (panel_id, id_persona, sexo, tramo_etario, localidad) and the report on all targets.
 
-    Report: the columns of availability, `asignados` (drawn of the category), `faltan` (required less drawn, 0 at least).
+    Report: the columns of availability, `asignados` (drawn of the category), `faltan` (required less drawn, 0 at least) and its `causa`: agotada (the
+    category has too few), redondeo (less than a place), otras_dimensiones (the targets of other dimensions or the sample's size leave no place).
     """
     targets = clean_targets(targets)
     held = held_reservoirs(membership, people, targets, seed)
@@ -199,6 +204,7 @@ def sample(membership: DataFrame, people: DataFrame, targets: DataFrame, seed: i
         .join(given, ["panel_id", "dimension", "categoria"], "left")
         .withColumn("asignados", F.coalesce("asignados", F.lit(0)))
         .withColumn("faltan", F.greatest(F.col("requeridos") - F.col("asignados"), F.lit(0.0)))
+        .withColumn("causa", F.when(F.col("faltan") <= 0, None).when(F.col("agotada"), "agotada").when(F.col("faltan") < 1, "redondeo").otherwise("otras_dimensiones"))
     )
     return drawn, report
 

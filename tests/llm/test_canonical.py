@@ -63,3 +63,10 @@ def test_operator_on_hard_rows(spark):
     assert {(r["atributo_id"], r["filas"]) for r in canonical.misses(mapped).collect()} == {(4, 1), (77, 1), (None, 1)}
     assert canonical.map_values(rows.limit(0), entries).count() == 0
     assert {r["categoria_id"] for r in canonical.map_values(rows, entries.limit(0)).collect()} == {0}
+
+
+def test_long_values_without_spaces_are_found():
+    list_ = canonical.Reference([(1, "Facultad de Ciencias Económicas y Administración", 0), (2, "Facultad de Ciencias", 0)])
+    assert list_.best("facultaddecienciaseconomicasyadministracion")[0] == 1
+    assert list_.best("facultaddecienciaseconomicasyadminstracoin")[0] == 1
+    assert list_.best("x" * 5000)[0] == 0
