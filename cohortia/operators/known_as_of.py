@@ -7,7 +7,8 @@ root before. An event selects the last root written at or before it and searches
 Distribution: rows and events of an entity meet in one task by a single exchange, sorted, and stream through it. Entities with very many
 rows are divided by attribute and by ranges of desde into parts with trees of their own. An event goes to the parts that can hold its row: from the latest
 range with a row that was valid and known by then - a witness - to the range of its own time; usually one part or two. The latest
-of the parts' answers holds.
+of the parts' answers holds. Entities with very many events are divided by a hash of the event, each part with the rows of the entity, of which no
+task holds more than `floor` or a range. Events aren't kept: they stream past the trees.
 
 Defined results: repeated rows and events count once; rows without entity, attribute or writing time, and events without entity
 or time, match nothing; equal desde and writing time: the row of the highest id; null desde is the earliest; null hasta: no end known.
@@ -24,10 +25,9 @@ from pyspark.sql import types as T
 
 from cohortia.functions.times import micros
 from cohortia.operators import skew
-from cohortia.session import ship
+from cohortia.session import cut, ship
 
 EARLIEST = -(2**62)
-BROADCAST_ROWS = 200_000
 _MASK = 2**64 - 1
 
 # A node: (key, value, priority, left, right); values: (written, id, hasta, closed, carried).
@@ -130,15 +130,14 @@ def as_known(
         F.struct(*carry).alias("c") if carry else F.lit(None).cast("boolean").alias("c"),
     )
     asked = events.filter(F.col(entity).isNotNull() & F.col(time).isNotNull()).select(F.col(entity).alias("e"), F.col(event).alias("ev"), micros(events, time).alias("t"))
-    heavy = skew.heavy_keys(history, ["e"], floor)
-    if heavy:
-        names = F.broadcast(history.sparkSession.createDataFrame([(r["e"],) for r in heavy], history.select("e").schema))
+    heavy, busy = skew.heavy_keys(history, ["e"], floor), skew.heavy_keys(asked, ["e"], floor)
+    if heavy is not None:
         best = F.max_by(F.struct("id", "c", "holds"), F.struct("desde", "w", "id"))
-        parts = _searched(*_parts(history.join(names, "e", "left_semi"), asked.join(names, "e", "left_semi")))
+        parts = _searched(*_salted(*_parts(cut(heavy.only(history)), cut(heavy.only(asked)), heavy), busy, floor))
         found = parts.groupBy("ev", "a").agg(best.alias("x")).select("ev", "a", "x.*")
-        history, asked = history.join(names, "e", "left_anti"), asked.join(names, "e", "left_anti")
-    out = _searched(*_whole(history, asked)).select("ev", "a", "id", "c", "holds")
-    out = (out.unionByName(found) if heavy else out).filter("holds")
+        history, asked = heavy.without(history), heavy.without(asked)
+    out = _searched(*_salted(*_whole(history, asked), busy, floor)).select("ev", "a", "id", "c", "holds")
+    out = (out.unionByName(found) if heavy is not None else out).filter("holds")
     columns = [F.col("ev").alias(event), F.col("a").alias(attribute), F.col("id").alias(f"row_{row}")]
     return out.select(*columns, *(F.col(f"c.{c}") for c in carry))
 
@@ -149,20 +148,31 @@ def _whole(history: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return history.withColumn("closed", F.lit(None).cast("bigint")).withColumn("part", part), asked.withColumn("part", part)
 
 
-def _parts(divided: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The inputs for divided entities: rows with their `part` and `closed`, events once for each part to search."""
-    points = [i / skew.RANGES for i in range(1, skew.RANGES)]
-    bounds = divided.groupBy("e", "a").agg(F.array_sort(F.array_distinct(F.percentile_approx("desde", points, 10_000))).alias("bounds"))
-    ranged = divided.join(_small(bounds), ["e", "a"]).withColumn("r", skew.range_of("bounds", F.col("desde"))).drop("bounds")
+def _salted(history: DataFrame, asked: DataFrame, busy: skew.Heavy | None, floor: int) -> tuple[DataFrame, DataFrame]:
+    """Both with `sal`: the events of busy entities divided by hash, their rows once for each division."""
+    if busy is None:
+        return history.withColumn("sal", F.lit(0)), asked.withColumn("sal", F.lit(0))
+    times = busy.side(busy.table.select("e", F.ceil(F.col("n") / floor).cast("int").alias("veces")), 12)
+    own = F.coalesce("veces", F.lit(1))
+    asked = asked.join(times, "e", "left").withColumn("sal", F.pmod(F.xxhash64("ev"), own).cast("int")).drop("veces")
+    return history.join(times, "e", "left").withColumn("sal", F.explode(F.sequence(F.lit(0), own - 1))).drop("veces"), asked
+
+
+def _parts(divided: DataFrame, asked: DataFrame, heavy: skew.Heavy) -> tuple[DataFrame, DataFrame]:
+    """The inputs for divided entities: rows with their `part` and `closed`, events once for each part to search. All rows of heavy entities are given."""
+    bounds = cut(skew.range_bounds(divided, ["e", "a"], "desde", heavy.ranges))
+    groups = bounds.count()
+    bounds = heavy.side(bounds, 8 * heavy.ranges + 16, groups)
+    ranged = divided.join(bounds, ["e", "a"]).withColumn("r", skew.range_of("bounds", F.col("desde"))).drop("bounds")
     successors = ranged.filter("desde is not null").groupBy("e", "a", F.col("desde").alias("hasta")).agg(F.max("w").alias("closed"))
     ranged_rows = ranged.join(successors, ["e", "a", "hasta"], "left").withColumn("part", F.concat_ws("/", F.col("a").cast("string"), "r"))
     witnesses = ranged.groupBy("e", "a", "r").agg(
         F.min(F.coalesce("desde", F.lit(EARLIEST))).alias("first"), F.min_by(F.struct(F.coalesce("desde", F.lit(EARLIEST)).alias("d"), "w"), "w").alias("seen")
     )
-    known = F.array_sort(F.collect_list(F.struct("r", "first", "seen")))  # at most RANGES for each entity and attribute
+    known = F.array_sort(F.collect_list(F.struct("r", "first", "seen")))  # at most one for each range of entity and attribute
     ranges = witnesses.groupBy("e", "a").agg(known.alias("ranges"))
     t = F.col("t")
-    sent = asked.join(_small(ranges), "e")
+    sent = asked.join(heavy.side(ranges, 32 * heavy.ranges + 16, groups), "e")
     safe = F.filter("ranges", lambda x: (x["seen"]["d"] <= t) & (x["seen"]["w"] <= t))
     sent = sent.withColumn("from", F.coalesce(F.array_max(F.transform(safe, lambda x: x["r"])), F.lit(0)))
     sent = sent.withColumn("x", F.explode(F.filter("ranges", lambda x: (x["r"] >= F.col("from")) & (x["first"] <= t))))
@@ -170,48 +180,36 @@ def _parts(divided: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ranged_rows.drop("r"), sent_parts
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if its size, checked, allows it."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _searched(history: DataFrame, asked: DataFrame) -> DataFrame:
     """Streams both, sorted, through the trees: ev, a, id, c, desde, w, part, holds."""
     null = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
-    rows = history.select("e", "part", F.lit(0).alias("k"), "a", "w", "id", "desde", "hasta", "closed", "c", null(asked, "ev"))
-    questions = asked.select("e", "part", F.lit(1).alias("k"), null(history, "a"), F.col("t").alias("w"), null(history, "id"), null(history, "desde"), null(history, "hasta"), null(history, "closed"), null(history, "c"), "ev")
-    both = rows.unionByName(questions).repartition("e", "part").sortWithinPartitions("e", "part", "k", "a", "w", "id")
+    rows = history.select("e", "part", "sal", F.lit(0).alias("k"), "a", "w", "id", "desde", "hasta", "closed", "c", null(asked, "ev"))
+    questions = asked.select("e", "part", "sal", F.lit(1).alias("k"), null(history, "a"), F.col("t").alias("w"), null(history, "id"), null(history, "desde"), null(history, "hasta"), null(history, "closed"), null(history, "c"), "ev")
+    both = rows.unionByName(questions).repartition("e", "part", "sal").sortWithinPartitions("e", "part", "sal", "k", "a", "w", "id", "ev")
     kinds = {f.name: f.dataType for f in both.schema}
     schema = T.StructType([T.StructField(n, kinds[n]) for n in ("ev", "a", "id", "c", "desde", "w", "part")] + [T.StructField("holds", T.BooleanType())])
 
     def run(batches):
-        shape, group, history_rows, questions = None, None, [], {}
+        shape, group, history_rows, trees, last = None, None, [], None, None
         found: list[tuple] = []
-
-        def answer():
-            if questions:
-                part = group[1]
-                trees = Trees(history_rows)
-                for ev, t in questions.items():
-                    for a, node, holds in trees.known(t, part is not None):
-                        if holds or part is not None:
-                            w, id_, _, _, c = node[1]
-                            found.append((ev, a, id_, c, node[0], w, part, holds))
-
         for batch in batches:
             shape = shape or _shape(batch.schema)
-            for e, part, k, a, w, id_, d, h, closed, c, ev in zip(*(column.to_pylist() for column in batch.columns)):
-                if (e, part) != group:
-                    answer()
-                    group, history_rows, questions = (e, part), [], {}
-                if k:
-                    questions[ev] = w
-                else:
+            for e, part, sal, k, a, w, id_, d, h, closed, c, ev in zip(*(column.to_pylist() for column in batch.columns)):
+                if (e, part, sal) != group:
+                    group, history_rows, trees, last = (e, part, sal), [], None, None
+                if not k:
                     history_rows.append((a, w, id_, d, h, closed, c))
-            if found:
-                yield _batch(found, shape)
-                found = []
-        answer()
+                    continue
+                if not history_rows or (w, ev) == last:  # events come by time: repeated ones follow one another
+                    continue
+                trees, last = trees or Trees(history_rows), (w, ev)
+                for attribute, node, holds in trees.known(w, part is not None):
+                    if holds or part is not None:
+                        written, row_id, _, _, carried = node[1]
+                        found.append((ev, attribute, row_id, carried, node[0], written, part, holds))
+                if len(found) >= 20_000:
+                    yield _batch(found, shape)
+                    found = []
         if found:
             yield _batch(found, shape)
 

@@ -1,8 +1,8 @@
 """Neighbours in ordered groups, for groups of any size.
 
 A group that holds very many rows is divided into consecutive ranges of its order, so that no task sorts it whole. Windows run within
-the ranges; what crosses a range's edge comes from a table of the ranges' first or last rows, which has at most
-skew.LIMIT * skew.RANGES rows and is broadcast. Without heavy groups these are plain window functions.
+the ranges; what crosses a range's edge comes from a table of the ranges' first or last rows. The rows of divided groups are
+kept apart, in the shared folder, so that those tables don't read all rows again. Other groups use plain window functions.
 """
 
 from __future__ import annotations
@@ -13,28 +13,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortia.operators import skew
+from cohortia.session import cut
 
 RANGE = "__rango"
-
-
-def divided(df: DataFrame, keys: list[str], order: str, floor: int = skew.FLOOR) -> tuple[DataFrame, bool]:
-    """df distributed by keys and RANGE (null for groups that aren't heavy), and whether any group is heavy. order: a numeric column."""
-    heavy = skew.heavy_keys(df, keys, floor)
-    if not heavy:
-        return df.withColumn(RANGE, F.lit(None).cast("int")).repartition(*keys), False
-    bounds = skew.range_bounds(df, keys, order, heavy)
-    marked = df.join(F.broadcast(bounds), keys, "left")
-    part = F.when(F.col("bounds").isNotNull(), skew.range_of("bounds", F.col(order)))
-    return marked.withColumn(RANGE, part).drop("bounds").repartition(*keys, RANGE), True
+EDGE_BYTES = 200
 
 
 @dataclass(frozen=True)
 class Neighbours:
-    """lead, lag and fill in groups given by keys, in the order of `order` (ascending, nulls first)."""
+    """lead, lag and fill in groups given by keys, in the order of `order` (ascending, nulls first); of divided groups with `heavy`."""
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    heavy: bool
+    heavy: skew.Heavy | None = None
 
     @property
     def group(self) -> list[str]:
@@ -54,7 +45,8 @@ class Neighbours:
         else:
             beyond = (F.lag if previous else F.lead)("edge").over(by_range)
         edges = edges.select(*self.group, beyond.alias("beyond"))
-        return df.join(F.broadcast(edges), self.group, "left").withColumn(out, F.coalesce(out, "beyond")).drop("beyond")
+        edges = self.heavy.side(edges, EDGE_BYTES, self.heavy.count * self.heavy.ranges)
+        return df.join(edges, self.group, "left").withColumn(out, F.coalesce(out, "beyond")).drop("beyond")
 
     def lead(self, df: DataFrame, columns: list[str], out: str) -> DataFrame:
         """df with out: a struct of the columns of the next row, null at the end."""
@@ -73,3 +65,18 @@ class Neighbours:
         up_to = self._window().rowsBetween(Window.unboundedPreceding, 0)
         filled = df.withColumn(column, F.last(column, ignorenulls=True).over(up_to))
         return self._from_ranges(filled, F.col(column), column, True, every=True) if self.heavy else filled
+
+
+def divided(df: DataFrame, keys: list[str], order: tuple[str, ...], floor: int = skew.FLOOR) -> list[tuple[DataFrame, Neighbours]]:
+    """df in one or two parts, each distributed by its groups and with RANGE: the usual groups (null), and those divided by the first, numeric column of order."""
+    none = F.lit(None).cast("int")
+    heavy = skew.heavy_keys(df, keys, floor)
+    if heavy is None:
+        return [(df.withColumn(RANGE, none).repartition(*keys), Neighbours((*keys,), order))]
+    large = cut(heavy.only(df))
+    bounds = heavy.side(skew.range_bounds(large, keys, order[0], heavy.ranges), 8 * heavy.ranges)
+    marked = large.join(bounds, keys).withColumn(RANGE, skew.range_of("bounds", F.col(order[0]))).drop("bounds")
+    return [
+        (heavy.without(df).withColumn(RANGE, none).repartition(*keys), Neighbours((*keys,), order)),
+        (marked.repartition(*keys, RANGE), Neighbours((*keys,), order, heavy)),
+    ]

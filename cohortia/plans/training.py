@@ -31,15 +31,30 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_satellites(spark: SparkSession, d: str) -> DataFrame:
     """The insert-only rows of persons with the satellite they belong to."""
-    rows, _ = history.satellite_of_rows(table(spark, d, "persona_atributo"))
-    return history.split_by_rate(rows).select("id_persona", "atributo_id", "cambio", "hash_diff", "satelite", *history.VALUES)
+    rows = table(spark, d, "persona_atributo")
+    split = history.split_by_rate(history.together(history.satellite_of_rows(rows)), history.rates(rows))
+    return split.select("id_persona", "atributo_id", "cambio", "hash_diff", "satelite", *history.VALUES)
+
+
+def p4_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """What a monthly snapshot of the values in force appends to the satellite of the snapshot before: of two moments, the earlier one first."""
+    rows = table(spark, d, "persona_atributo").filter(history.holds_value()).distinct()
+    keys, out = ["id_persona", "atributo_id"], None
+    for moment in ("2023-01-01", "2024-01-01"):
+        at = F.lit(moment).cast("timestamp_ntz")
+        held = rows.filter((F.col("desde").isNull() | (F.col("desde") <= at)) & (F.col("hasta").isNull() | (F.col("hasta") > at)) & (F.col("actualizado_en") <= at))
+        snapshot = held.groupBy(*keys).agg(F.max_by(F.struct(*history.VALUES), F.struct("desde", "actualizado_en", "id")).alias("x")).select(*keys, at.alias("momento"), "x.*")
+        before = out if out is not None else snapshot.limit(0).select(*keys, F.lit(None).cast("timestamp_ntz").alias("cambio"), F.lit(None).cast("string").alias("hash_diff"), *history.VALUES)
+        added = history.append_changes(before, snapshot, keys, history.VALUES, "momento")
+        out = added if out is None else out.unionByName(added)
+    return out.select(*keys, "cambio", F.col("hash_diff").isNull().alias("cierra"), *history.VALUES)
 
 
 def p4_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return history.history_of_log(table(spark, d, "atributo_auditoria")).select("clave", "etiqueta", "desde", "hasta")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_attributes, p4_found, p4_satellites, p4_vocabulary)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_attributes, p4_found, p4_satellites, p4_snapshots, p4_vocabulary)}
 
 _KNOWN = """
 with a as (select distinct * from persona_atributo where categoria_id is not null or valor_num is not null or valor_fecha is not null),
@@ -77,5 +92,26 @@ SQL = {
     + """select id_persona as entidad, atributo_id::varchar as atributo, case when siempre then '-' else strftime(desde, '%Y-%m-%d %H:%M:%S') end as desde,
  case when hasta = timestamp '9999-01-01' then '-' else strftime(hasta, '%Y-%m-%d %H:%M:%S') end as hasta from pv
 union all select 'catalogo', clave, strftime(desde, '%Y-%m-%d %H:%M:%S'), coalesce(strftime(hasta, '%Y-%m-%d %H:%M:%S'), '-') from vv where estado is not null""",
+    "p4_satellites": _VERSIONS
+    + """, r as (select atributo_id, case when count(*) / count(distinct id_persona) >= 2 then 'rapido' else 'lento' end as satelite from persona_atributo
+ where categoria_id is not null or valor_num is not null or valor_fecha is not null group by 1),
+ y as (select id_persona, atributo_id, g, arg_min(k2, o) as k2, min(o) as o, max_by(coalesce(fin, timestamp '9999-01-01'), o) as fin from (select g.*, struct_pack(d := desde, a := categoria_id, b := valor_num, c := valor_fecha) as k2
+  from g join (select distinct id_persona, atributo_id, desde, categoria_id, valor_num, valor_fecha, actualizado_en, id from a
+   qualify row_number() over (partition by id_persona, atributo_id, desde order by actualizado_en desc nulls last, id desc) = 1) z using (id_persona, atributo_id, desde)
+  union all select g.*, struct_pack(d := desde, a := categoria_id, b := valor_num, c := valor_fecha) from g join (select distinct id_persona, atributo_id, categoria_id, valor_num, valor_fecha, actualizado_en, id from a where desde is null
+   qualify row_number() over (partition by id_persona, atributo_id order by actualizado_en desc nulls last, id desc) = 1) z using (id_persona, atributo_id) where g.desde is null) group by all),
+ c as (select *, lead(o) over (partition by id_persona, atributo_id order by o) as prox from y),
+ u as (select id_persona, atributo_id, k2.d as cambio, md5(concat_ws('|', coalesce('=' || k2.a::varchar, '-'), coalesce('=' || k2.b::varchar, '-'), coalesce('=' || k2.c::varchar, '-'))) as hash_diff, k2.a as categoria_id, k2.b as valor_num, k2.c as valor_fecha from c
+  union all select id_persona, atributo_id, fin, null, null, null, null from c where fin < timestamp '9999-01-01' and (prox is null or prox > fin))
+select u.*, satelite from u join r using (atributo_id)""",
+    "p4_snapshots": """
+with a as (select distinct * from persona_atributo where categoria_id is not null or valor_num is not null or valor_fecha is not null),
+ f as (select m, id_persona, atributo_id, categoria_id, valor_num, valor_fecha from a, (values (timestamp '2023-01-01'), (timestamp '2024-01-01')) t(m)
+  where (desde is null or desde <= m) and (hasta is null or hasta > m) and actualizado_en <= m qualify row_number() over (partition by m, id_persona, atributo_id order by desde desc nulls last, actualizado_en desc, id desc) = 1),
+ p as (select * from f where m = timestamp '2023-01-01'), q as (select * from f where m = timestamp '2024-01-01')
+select id_persona, atributo_id, m as cambio, false as cierra, categoria_id, valor_num, valor_fecha from p
+union all select q.id_persona, q.atributo_id, q.m, false, q.categoria_id, q.valor_num, q.valor_fecha from q left join p using (id_persona, atributo_id)
+ where p.m is null or p.categoria_id is distinct from q.categoria_id or p.valor_num is distinct from q.valor_num or p.valor_fecha is distinct from q.valor_fecha
+union all select id_persona, atributo_id, timestamp '2024-01-01', true, null, null, null from p left join q using (id_persona, atributo_id) where q.m is null""",
     "p4_vocabulary": _VERSIONS + "select clave, et as etiqueta, desde, hasta from vv where estado is not null",
 }

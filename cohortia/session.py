@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,19 +30,26 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see: spark.checkpoint.dir; set to a temporary folder only where it is unset (local tests)."""
+    """Folder all executors see: spark.checkpoint.dir; a temporary folder only where that is unset and the master is local (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not folder:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
         folder = "file://" + tempfile.mkdtemp(prefix="cohortia-checkpoint-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
     return folder
 
 
+def shared_file(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Materialise a DataFrame in the shared folder; survives the loss of executors."""
     shared_dir(df.sparkSession)

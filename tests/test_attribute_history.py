@@ -98,8 +98,8 @@ def test_empty_tables(spark):
 
 def test_satellites_are_split_by_rate(spark):
     rows = [(k, "a", 1, k, None, None, None, ZERO + timedelta(days=k), None, ZERO, "", "") for k in range(5)] + [(9, "a", 2, 1, None, None, None, None, None, ZERO, "", "")]
-    satellite, _ = history.satellite_of_rows(spark.createDataFrame(rows, ROWS))
-    split = {(r["atributo_id"], r["satelite"]) for r in history.split_by_rate(satellite).collect()}
+    table = spark.createDataFrame(rows, ROWS)
+    split = {(r["atributo_id"], r["satelite"]) for r in history.split_by_rate(history.together(history.satellite_of_rows(table)), history.rates(table)).collect()}
     assert split == {(1, "rapido"), (2, "lento")}
 
 
