@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and their plain forms; age bands; recency bands in days.
-_ACCENTED, _PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
+# Lower-case Latin letters that are a letter and marks, and those letters.
+_MARKED = [chr(c) for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for c in block if chr(c).islower() and unicodedata.normalize("NFD", chr(c))[0] != chr(c)]
+_ACCENTED, _PLAIN = "".join(_MARKED), "".join(unicodedata.normalize("NFD", ch)[0] for ch in _MARKED)
+# Age bands; recency bands in days.
 AGE_BANDS = [(18, "<18"), (25, "18-24"), (35, "25-34"), (45, "35-44"), (55, "45-54"), (65, "55-64")]
 RECENCY_BANDS = [(30, "hasta_30_dias"), (90, "31_a_90_dias"), (180, "91_a_180_dias")]
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents, trimmed."""
-    return F.trim(F.translate(F.lower(text), _ACCENTED, _PLAIN))
+    """Lower case without accents, whether they are part of the letter or marks behind it, trimmed."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(text), _ACCENTED, _PLAIN), r"\p{M}+", ""))
 
 
 def completed_years(born: Column, at: Column) -> Column:
@@ -60,6 +64,11 @@ def lacks_letters_and_digits(text: Column) -> Column:
     return (F.trim(text) != "") & ~text.rlike("[0-9A-Za-zÀ-ÖØ-öø-ÿ]")
 
 
+def lacks_letters(text: Column) -> Column:
+    """A value that isn't blank but has no letter, as no name may."""
+    return (F.trim(text) != "") & ~text.rlike("[A-Za-zÀ-ÖØ-öø-ÿ]")
+
+
 def check_digit_valid(number: Column) -> Column:
     """Whether the last digit of an eight-digit national number is the check digit of the other seven (weights 2987634)."""
     digits = F.lpad(F.regexp_replace(number, "[^0-9]", ""), 8, "0")

@@ -23,7 +23,10 @@ PAIRS = [
     ("mencionado", "no mencionado"), ("mencionada", "no mencionada"), ("true", "false"), ("verdadero", "falso"),
 ]
 # Names of fields that hold personal data.
-PERSONAL_FIELDS = {"nombre", "apellido", "documento", "cedula", "email", "celular", "telefono", "direccion", "fecha_nacimiento"}
+PERSONAL_FIELDS = {
+    "documento", "cedula", "ci", "dni", "pasaporte", "rut", "nombre", "nombres", "apellido", "apellidos", "nombre_completo", "email", "correo", "mail", "e_mail",
+    "celular", "telefono", "movil", "whatsapp", "direccion", "domicilio", "fecha_nacimiento", "fecha_nac", "nacimiento", "fnac", "contacto", "observaciones",
+}
 
 
 def _named(hits: Column, kind: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortia.functions.criteria import Criterion
-from cohortia.functions.expressions import age_band, completed_years
+from cohortia.functions.expressions import age_band, completed_years, fold
 
 
 def valid_at(rows: DataFrame, at: Column, desde: str = "desde", hasta: str = "hasta") -> DataFrame:
@@ -83,12 +83,12 @@ def drawn(df: DataFrame, key: str, seed: str, limit: int, offset: int = 0) -> Da
 
 
 def named_like(people: DataFrame, aliases: DataFrame, text: str, columns: list[str], key: str = "id_persona") -> DataFrame:
-    """People one of whose columns contains the text, or one of whose aliases (key, alias) does."""
-    pattern = f"%{text}%"
-    known = aliases.filter(F.col("alias").ilike(pattern)).select(key).distinct().withColumn("__alias", F.lit(True))
+    """People one of whose columns contains the text, or one of whose aliases (key, alias) does, whatever the case and accents."""
+    wanted = fold(F.lit(text))
+    known = aliases.filter(fold(F.col("alias")).contains(wanted)).select(key).distinct().withColumn("__alias", F.lit(True))
     found = F.coalesce("__alias", F.lit(False))
     for c in columns:
-        found = found | F.coalesce(F.col(c).ilike(pattern), F.lit(False))
+        found = found | F.coalesce(fold(F.col(c)).contains(wanted), F.lit(False))
     return people.join(known, key, "left").filter(found).drop("__alias")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortia.functions.criteria import Criterion, normalise
-from cohortia.functions.expressions import lacks_letters_and_digits, phone_key, whole_days
+from cohortia.functions.expressions import lacks_letters, lacks_letters_and_digits, phone_key, whole_days
 from cohortia.operators import composition, participation, sampling, segments
 from cohortia.plans import roles
 from cohortia.plans.roles import ACTIVE, CUSTOMERS, DEMO, NOW, PART, POP, SQL_NOW, TARGETS
@@ -94,21 +94,21 @@ def segment_without_wave(spark, d):
 
 
 @query("""with p as (select distinct on (id_persona) * from persona), i as (select distinct id_persona, nombre as alias from inscripcion where id_persona is not null)
-select id_persona, nombre from p where coalesce(nombre ilike '%zalumbre%', false) or coalesce(email ilike '%zalumbre%', false)
- or exists (select 1 from i where i.id_persona = p.id_persona and alias ilike '%zalumbre%')""")
+select id_persona, nombre from p where coalesce(contains(strip_accents(lower(nombre)), 'gorriquel'), false) or coalesce(contains(strip_accents(lower(email)), 'gorriquel'), false)
+ or exists (select 1 from i where i.id_persona = p.id_persona and contains(strip_accents(lower(alias)), 'gorriquel'))""")
 def people_named_like(spark, d):
     aliases = table(spark, d, "inscripcion", "id_persona", "nombre").filter("id_persona is not null").withColumnRenamed("nombre", "alias")
-    return segments.named_like(roles.people(spark, d), aliases, "zalumbre", ["nombre", "email"]).select("id_persona", "nombre")
+    return segments.named_like(roles.people(spark, d), aliases, "Gorríquel", ["nombre", "email"]).select("id_persona", "nombre")
 
 
 @query("""with p as (select distinct on (id_persona) * from persona),
- f as (select id_persona, list_filter([case when trim(nombre) <> '' and not regexp_matches(nombre, '[0-9A-Za-zÀ-ÖØ-öø-ÿ]') then 'nombre' end,
+ f as (select id_persona, list_filter([case when trim(nombre) <> '' and not regexp_matches(nombre, '[A-Za-zÀ-ÖØ-öø-ÿ]') then 'nombre' end,
   case when trim(documento) <> '' and not regexp_matches(documento, '[0-9A-Za-zÀ-ÖØ-öø-ÿ]') then 'documento' end,
   case when trim(celular) <> '' and not regexp_matches(celular, '[0-9]{8}') then 'celular' end], lambda x: x is not null) as campos from p)
 select id_persona, array_to_string(campos, ',') as campos from f where len(campos) > 0""")
 def garbage_identifiers(spark, d):
     p = roles.people(spark, d)
-    bad = [F.when(lacks_letters_and_digits(F.col(c)), c) for c in ("nombre", "documento")] + [F.when((F.trim("celular") != "") & ~F.col("celular").rlike("[0-9]{8}"), "celular")]
+    bad = [F.when(lacks_letters(F.col("nombre")), "nombre"), F.when(lacks_letters_and_digits(F.col("documento")), "documento")] + [F.when((F.trim("celular") != "") & ~F.col("celular").rlike("[0-9]{8}"), "celular")]
     fields = F.array_compact(F.array(*bad))
     return p.select("id_persona", F.array_join(fields, ",").alias("campos")).filter("campos <> ''")
 
@@ -273,11 +273,43 @@ def _quota(spark, d):
     return sampling.quotas(missing, 40)
 
 
-@query(f"""with {_CAND}, {_MISSING}, o as (select e.persona, e.categoria, row_number() over (partition by e.categoria order by recientes, totales, respondidas desc, persona)::int as orden, cupo from eleg e join quo using (categoria))
-select persona, categoria, orden from o where orden <= cupo""")
+_RULES = """o as (select e.*, faltan, cupo, row_number() over (partition by e.categoria order by recientes, totales, respondidas desc, persona)::int as orden from eleg e join quo using (categoria)),
+ rules as (select persona, categoria, orden, orden > cupo as completa from o order by orden > cupo, case when orden <= cupo then -faltan end, case when orden <= cupo then categoria end,
+  case when orden <= cupo then orden end, recientes, totales, respondidas desc, persona limit 40)"""
+
+
+@query(f"with {_CAND}, {_MISSING}, {_RULES} select persona, categoria, orden, completa from rules")
 def quota_rule_sample(spark, d):
     eligible = _candidates(spark, d).filter("motivo is null")
-    return sampling.by_quota(eligible, _quota(spark, d), "persona", 40).select("persona", "categoria", "orden")
+    return sampling.by_quota(eligible, _quota(spark, d), "persona", 40).select("persona", "categoria", "orden", "completa")
+
+
+@query(f"""with {_CAND}, c as (select distinct categoria from cand), quo as (select categoria, 0 as faltan, 40 // count(*) over () as cupo from c), {_RULES} select persona, categoria, orden, completa from rules""")
+def even_rule_sample(spark, d):
+    candidates = _candidates(spark, d)
+    quota = sampling.even_quotas(candidates.select("categoria").distinct(), 40)
+    return sampling.by_quota(candidates.filter("motivo is null"), quota, "persona", 40).select("persona", "categoria", "orden", "completa")
+
+
+@query(f"""with {_CAND}, m as (select categoria, count(*) filter (totales < 6) as faltan from cand group by 1), quo as (select categoria, faltan, round_even(4000 * faltan / sum(faltan) over (), 0)::bigint as cupo from m where faltan > 0)
+select categoria, faltan, cupo, count(persona) as elegibles from quo left join eleg using (categoria) group by all having count(persona) < cupo""")
+def quota_shortfalls(spark, d):
+    candidates = _candidates(spark, d)
+    missing = candidates.groupBy("categoria").agg(F.count_if(F.col("totales") < 6).alias("faltan"))
+    return sampling.shortfalls(candidates.filter("motivo is null"), sampling.quotas(missing, 4000))
+
+
+@query(f"""with {_CAND}, t as (select distinct categoria, 250 as meta from cand), tp as (select unnest([2, 3, 4, 5]) as tope),
+ n as (select tope, t.categoria, t.meta, (select count(*) from cand c where c.categoria = t.categoria and not ya and recientes < tope and totales < 6 and not coalesce(dias < 300, false)) as n from tp, t),
+ x as (select *, least(n, meta) as tomadas, sum(least(n, meta)) over (partition by tope) as total from n),
+ b as (select tope, sum(n)::bigint as elegibles, sum(tomadas)::bigint as tamano, round(sum(abs(tomadas / greatest(total, 1) - meta / 1250)) / 2, 4) as disimilitud, sum(tomadas) >= least(sum(meta), 1250) as alcanza from x group by 1),
+ y as (select *, coalesce(max(case when alcanza or (tope > 2 and elegibles = (select elegibles from b where tope = 2)) then 1 else 0 end) over (order by tope rows between unbounded preceding and 1 preceding), 0) as antes from b),
+ z as (select *, unnest(case when tope > 2 then ['aflojar_la_fatiga'] when alcanza then ['factible'] else ['reducir_el_tamano', 'aceptar_la_brecha'] end) as opcion from y where antes = 0)
+select opcion, tope, elegibles, tamano, disimilitud, alcanza from z""")
+def optimizer_alternatives(spark, d):
+    candidates = _candidates(spark, d).drop("motivo")
+    targets = candidates.select("categoria").distinct().withColumn("meta", F.lit(250))
+    return sampling.alternatives(candidates, targets, 1250, sampling.Limits(2, 6, 300))
 
 
 _OPT = f"""{_CAND}, meta as (select categoria, 12 as meta from cand group by 1), m as (select avg(totales) as media from eleg),
@@ -298,7 +330,7 @@ def optimizer_selection(spark, d):
     return _optimised(spark, d).withColumn("puntaje", F.round("puntaje", 6))
 
 
-@query(f"""with {_OPT}, {_MISSING}, r as (select persona from (select e.persona, row_number() over (partition by e.categoria order by recientes, totales, respondidas desc, persona) as o, cupo from eleg e join quo using (categoria)) where o <= cupo)
+@query(f"""with {_OPT}, {_MISSING}, {_RULES}, r as (select persona from rules)
 select count(*) filter (opt.persona is not null and r.persona is not null) as ambos, count(*) filter (r.persona is null) as solo_a, count(*) filter (opt.persona is null) as solo_b from opt full join r on opt.persona = r.persona""")
 def optimizer_versus_rules(spark, d):
     return sampling.overlap(_optimised(spark, d), quota_rule_sample(spark, d), "persona")
