@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from abc import ABC, abstractmethod
 from functools import lru_cache
 
@@ -103,14 +104,22 @@ def checked(verdicts: list[str | None], expected: int) -> list[str]:
     return out + ["sin_verificar"] * (expected - len(out))
 
 
-def verified(units: DataFrame, verifier: Verifier, criterion: str, text: str = "texto", batch: int = 25) -> DataFrame:
-    """units with `veredicto` of a pluggable verifier, batch by batch; a batch that fails is halved down to single texts."""
+class TransientError(Exception):
+    """What a verifier raises for a batch that may succeed later or in smaller batches."""
+
+
+def verified(units: DataFrame, verifier: Verifier, criterion: str, text: str = "texto", batch: int = 25, seconds: float = 60.0) -> DataFrame:
+    """units with `veredicto` of a pluggable verifier, batch by batch; a batch that fails for the moment is halved down to single texts.
+
+    TransientError, TimeoutError and ConnectionError are such failures; any other error ends the query. Each call of a task has `seconds`, after which the
+    rest stays sin_verificar.
+    """
     ship(units.sparkSession)
 
     def ask(texts: list[str], depth: int = 5) -> list[str]:
         try:
             return checked(list(verifier.verdicts(criterion, texts)), len(texts))
-        except Exception:
+        except (TransientError, TimeoutError, ConnectionError):
             if len(texts) == 1 or not depth:
                 return ["sin_verificar"] * len(texts)
             half = len(texts) // 2
@@ -118,8 +127,11 @@ def verified(units: DataFrame, verifier: Verifier, criterion: str, text: str = "
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        values = [t or "" for t in texts]
-        return pd.Series([v for k in range(0, len(values), batch) for v in ask(values[k : k + batch])])
+        values, until, out = [t or "" for t in texts], time.monotonic() + seconds, []
+        for k in range(0, len(values), batch):
+            part = values[k : k + batch]
+            out += ask(part) if time.monotonic() < until else ["sin_verificar"] * len(part)
+        return pd.Series(out, dtype=object)
 
     return units.withColumn("veredicto", run(text))
 

@@ -99,3 +99,33 @@ def variable_profile(cells: DataFrame, rows: int | None = None) -> DataFrame:
     filled = F.trim("valor") != ""
     out = cells.groupBy("codigo").agg(F.count(F.lit(1)).alias("filas"), F.count_if(filled).alias("con_dato"), F.count_distinct(F.when(filled, F.col("valor"))).alias("distintos"))
     return out.withColumn("identificador", (F.col("con_dato") == F.col("filas")) & (F.col("distintos") == F.col("filas")))
+
+
+def _reason(value: Column) -> Column:
+    return F.when(value.isNull() | (F.trim(value) == ""), "vacia").when(fold(value).isin(NO_ANSWER), "no_respuesta")
+
+
+def cell_counters(cells: DataFrame) -> DataFrame:
+    """(codigo, celdas, vacias, no_respuesta, respuestas) of the cells (codigo, valor)."""
+    reason = _reason(F.col("valor"))
+    return cells.groupBy("codigo").agg(F.count(F.lit(1)).alias("celdas"), F.count_if(reason == "vacia").alias("vacias"), F.count_if(reason == "no_respuesta").alias("no_respuesta"), F.count_if(reason.isNull()).alias("respuestas"))
+
+
+def ingested(wide: DataFrame, key: str, columns: list[str], identifier: str, people: DataFrame, permitted: Column) -> DataFrame:
+    """Every cell of a wide file with its person, unit and `destino`: vacia, no_respuesta, sin_persona, sin_permiso, or cargada.
+
+    people: identifier, id_persona; an identifier of several persons identifies none. permitted: a condition on the rows, null is no. A cell that is
+    loaded has the text `codigo → valor` and its hash, under which its unit is stored once. Rows are joined before they are unpivoted.
+    """
+    known = people.filter(F.col(identifier).isNotNull()).groupBy(identifier).agg(F.min("id_persona").alias("__x"), F.max("id_persona").alias("__y"))
+    known = known.select(F.col(identifier).alias("__clave"), F.when(F.col("__x") == F.col("__y"), F.col("__x")).alias("persona"))
+    rows = wide.withColumn("__permiso", F.coalesce(permitted, F.lit(False))).withColumn("__clave", F.col(identifier)).join(known, "__clave", "left")
+    cells = unpivoted(rows, [key, "persona", "__permiso"], columns)
+    target = F.coalesce(_reason(F.col("valor")), F.when(F.col("persona").isNull(), "sin_persona").when(~F.col("__permiso"), "sin_permiso").otherwise("cargada"))
+    text = F.when(F.col("destino") == "cargada", F.concat(F.col("codigo"), F.lit(" → "), F.trim("valor")))
+    return cells.withColumn("destino", target).drop("__permiso").withColumn("texto", text).withColumn("hash", F.sha2("texto", 256))
+
+
+def summary(cells: DataFrame, key: str) -> DataFrame:
+    """(destino, celdas, filas, personas, unidades) of ingested cells."""
+    return cells.groupBy("destino").agg(F.count(F.lit(1)).alias("celdas"), F.count_distinct(key).alias("filas"), F.count_distinct("persona").alias("personas"), F.count_distinct("hash").alias("unidades"))

@@ -70,3 +70,9 @@ def fatigue(facts: DataFrame, now: Column, days: int = 90) -> DataFrame:
     """Calls of the last days, all calls, answers and last call of each person."""
     recent = F.col("convocado_en") >= now - F.make_interval(days=F.lit(days))
     return facts.groupBy("persona").agg(F.count_if(recent).alias("recientes"), F.count(F.lit(1)).alias("totales"), F.count_if("respondio").alias("respondidas"), F.max("convocado_en").alias("ultima"))
+
+
+def dormant(profiles: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, ultimo_contacto, puesto): people that were called and never answered, those called longest ago first."""
+    top = profiles.filter("convocatorias > 0 and respuestas = 0").select(key, "ultimo_contacto").orderBy("ultimo_contacto", key).limit(most)
+    return top.withColumn("puesto", F.row_number().over(Window.orderBy("ultimo_contacto", key)))

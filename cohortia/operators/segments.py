@@ -98,3 +98,22 @@ def first_reason(reasons: list[tuple[str, Column]]) -> Column:
     for name, holds in reasons[1:]:
         out = out.when(holds, name)
     return out
+
+
+def aged(people: DataFrame, rows: DataFrame, categories: DataFrame, at: Column, declared: int, band: int, born: str = "fecha_nacimiento") -> DataFrame:
+    """(id_persona, edad, procedencia, tramo_etario) at a time: completed years since birth (derivado), else the declared age and the completed years since
+    its reference date (envejecido; none without a date or before it), else the stored band alone (tramo_guardado). Who has none of these has no row.
+
+    declared, band: the attributes of the declared age (a number) and of the band (a category).
+    """
+    held = valid_at(rows.filter(F.col("atributo_id").isin(declared, band) & F.coalesce(F.col("categoria_id").cast("string"), F.col("valor_num").cast("string"), F.col("valor_fecha").cast("string")).isNotNull()), at)
+    latest = F.max_by(F.struct("categoria_id", "valor_num", "fecha_referencia"), F.struct("desde", "actualizado_en", "id")).alias("x")
+    now = held.groupBy("id_persona", "atributo_id").agg(latest)
+    both = now.groupBy("id_persona").agg(F.max(F.when(F.col("atributo_id") == declared, F.struct("x.valor_num", "x.fecha_referencia"))).alias("e"), F.max(F.when(F.col("atributo_id") == band, F.col("x.categoria_id"))).alias("categoria_id"))
+    names = categories.filter(F.col("atributo_id") == band).select(F.col("id").alias("categoria_id"), F.col("clave").alias("guardado")).distinct()
+    known = people.select("id_persona", F.col(born).alias("nacio")).join(both.join(names, "categoria_id", "left"), "id_persona", "left")
+    since = F.coalesce(F.greatest(F.lit(0), completed_years(F.col("e.fecha_referencia"), at)), F.lit(0))
+    age = F.when(F.col("nacio").isNotNull(), completed_years(F.col("nacio"), at)).otherwise(F.floor("e.valor_num").cast("int") + since)
+    source = F.when(F.col("nacio").isNotNull(), "derivado").when(F.col("e.valor_num").isNotNull(), "envejecido").when(F.col("guardado").isNotNull(), "tramo_guardado")
+    out = known.select("id_persona", age.cast("int").alias("edad"), source.alias("procedencia"), "guardado").filter("procedencia is not null")
+    return out.withColumn("tramo_etario", F.coalesce(age_band(F.col("edad")), "guardado")).drop("guardado")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortia.functions import polarity
 from cohortia.functions.providers import distance_to, least_distance, nearest_of
+from cohortia.operators.participation import ranked
 from cohortia.session import ship
 
 PRIORITY = ["no_cumple", "cumple", "dudoso", "sin_verificar"]
@@ -125,8 +126,7 @@ def near_any(candidates: DataFrame, references: DataFrame, key: str, vector: str
 
 def reranked(pool: DataFrame, score: str = "relevancia") -> DataFrame:
     """pool with `clave_orden`: the relevance within [0, 1] if every unit has one, else the order by distance for all."""
-    every = Window.partitionBy()
-    whole = F.count(score).over(every) == F.count(F.lit(1)).over(every)
+    whole = pool.agg(F.count(score) == F.count(F.lit(1))).scalar()
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score)))
     return pool.withColumn("clave_orden", F.when(whole, -clamped).otherwise(F.col("distancia")))
 
@@ -212,3 +212,49 @@ def inconsistent_units(answers: DataFrame, stored: DataFrame) -> DataFrame:
     both = hashes.join(stored.select("hash", F.lit(1).alias("u")), "hash", "full")
     kind = F.when(F.col("u").isNull(), "sin_unidad").when(F.col("a").isNull(), "huerfana")
     return both.withColumn("problema", kind).filter("problema is not null").groupBy("problema").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ranking(found: DataFrame, person: str, limit: int) -> DataFrame:
+    """The people that no criterion excludes with their place: by score, then person."""
+    top = found.filter("exclusion is null").orderBy(F.desc("puntaje"), person).limit(limit)
+    return top.withColumn("puesto", F.row_number().over(Window.orderBy(F.desc("puntaje"), person)))
+
+
+def units_summary(found: DataFrame) -> DataFrame:
+    """(unidades, mayor, mediana, de_una): people per unit; the median is exact."""
+    return found.agg(F.count(F.lit(1)).alias("unidades"), F.max("personas").alias("mayor"), F.median("personas").alias("mediana"), F.count_if(F.col("personas") == 1).alias("de_una"))
+
+
+def eligible(answers: DataFrame, allowed: DataFrame, person: str, answer: str, text: str, vectors: DataFrame, query: list[float], most: float | None = None) -> DataFrame:
+    """(hash, answer, distancia) of the units that a permitted person has given, by their lowest answer, within the distance if one is given.
+
+    The gate is one semi-join before the units are formed; vectors (answer, embedding) are read for the distance only. Units without a vector are left out.
+    """
+    own = answers.filter(F.trim(text) != "").join(allowed.select(person), person, "left_semi")
+    formed = own.groupBy(F.sha2(text, 256).alias("hash")).agg(F.min(answer).alias(answer))
+    near = vectors.select(answer, distance_to(query, F.col("embedding")).alias("distancia")).filter("distancia is not null")
+    near = near if most is None else near.filter(F.col("distancia") <= most)
+    return formed.join(near, answer).select("hash", answer, "distancia")
+
+
+def frozen_batches(found: DataFrame, size: int) -> DataFrame:
+    """found (hash, ...) with `lote` from 0: batches of `size` units in the order of their hash, the same at every run."""
+    placed, _ = ranked(found, [F.col("hash")])
+    return placed.withColumn("lote", F.floor((F.col("puesto") - 1) / size)).drop("puesto")
+
+
+def process_batches(frozen: DataFrame, criterion: SemanticCriterion, first: int, last: int) -> DataFrame:
+    """(hash, veredicto, relevancia) of the batches from `first` up to, not including, `last`: what a budget allows in one go."""
+    chosen = frozen.filter(F.col("lote").between(first, last - 1)).select("texto")
+    return judged(chosen, [criterion], "texto").select("hash", "veredicto", "relevancia")
+
+
+def verdict_upsert(known: DataFrame | None, new: DataFrame) -> DataFrame:
+    """The table of verdicts with the new ones, which replace those of the same units; repeating a batch changes nothing."""
+    new = new.dropDuplicates(["hash"])
+    return new if known is None else known.join(new.select("hash"), "hash", "left_anti").unionByName(new)
+
+
+def assembled(frozen: DataFrame, known: DataFrame) -> DataFrame:
+    """All units with the verdicts there are; those of batches not yet processed are sin_verificar."""
+    return frozen.join(known, "hash", "left").withColumn("veredicto", F.coalesce("veredicto", F.lit("sin_verificar")))

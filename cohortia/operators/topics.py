@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import unicodedata
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortia.functions.expressions import fold
+
 
 def attributed(answers: DataFrame, topic_questions: DataFrame, question: str, person: str) -> DataFrame:
     """(person, tema, apoyos): who answered a question that supports a topic, and how many such."""
@@ -32,3 +36,18 @@ def merged(facts: DataFrame, into: dict[str, str], person: str, keep: str) -> Da
 def unused(topics: DataFrame, facts: DataFrame) -> DataFrame:
     """Topics that nobody has."""
     return topics.join(facts.select("tema"), "tema", "left_anti")
+
+
+def people_with(facts: DataFrame, catalogue: DataFrame, person: str, ids: list[str] = (), names: list[str] = (), areas: list[str] = (), special: bool = False) -> DataFrame:
+    """(person) of those who have one of the topics named by id, by name (whatever the case and accents) or by whole area.
+
+    catalogue: tema, area, especial; a topic is special by itself or by its area, which is if one of its topics is. Special topics count only if permitted.
+    """
+    marked = catalogue.withColumn("__e", F.max(F.coalesce("especial", F.lit(False))).over(Window.partitionBy("area")))
+    asked = F.col("tema").isin(*ids) | fold(F.col("tema")).isin(*({_folded(n) for n in names})) | F.col("area").isin(*areas)
+    wanted = marked.filter(asked & (F.lit(special) | ~F.col("__e"))).select("tema")
+    return facts.join(wanted, "tema", "left_semi").select(person).distinct()
+
+
+def _folded(name: str) -> str:
+    return "".join(ch for ch in unicodedata.normalize("NFD", name.lower()) if not unicodedata.combining(ch)).strip()

@@ -80,14 +80,19 @@ def token_calibration(spark, d):
     return upkeep.calibration(ok, F.desc(F.struct("ts", "event_id")), "value", "u")
 
 
-@query("""with i as (select distinct id, id_persona, id_persona_previa, documento, nombre, resolucion from inscripcion), p as (select documento, min(id_persona) as pd from persona where documento is not null group by 1)
-select id, case when i.id_persona_previa is not null then 'existente' when pd is not null then 'reconocido' when resolucion = 'revision' then 'revision' when nombre is not null then 'a_crear' else 'sin_datos' end as clase,
- coalesce(i.id_persona_previa, pd) as persona from i left join p using (documento)""")
+@query("""with i as (select distinct id, id_persona_previa, documento, email, nombre, resolucion from inscripcion), p as (select documento, min(id_persona) as pd from persona where documento is not null group by 1),
+ k as (select distinct id_persona from persona where coalesce(trim(nombre), '') <> 'Kiosco compartido'), r as (select lower(email) as mail, min(id_persona) as pr from inscripcion where email is not null and id_persona is not null group by 1)
+select id, case when k.id_persona is not null then 'existente' when i.id_persona_previa is not null then 'id_desconocido' when coalesce(pr, pd) is not null then 'reconocido' when resolucion = 'revision' then 'revision' when nombre is not null then 'a_crear' else 'sin_datos' end as clase,
+ coalesce(k.id_persona, pr, pd) as persona from i left join p using (documento) left join k on k.id_persona = i.id_persona_previa left join r on r.mail = lower(i.email)""")
 def row_recognition(spark, d):
-    entries = table(spark, d, "inscripcion", "id", "id_persona_previa", "documento", "nombre", "resolucion").dropDuplicates(["id"])
-    known = table(spark, d, "persona", "documento", "id_persona").filter("documento is not null").groupBy("documento").agg(F.min("id_persona").alias("por_datos"))
-    rows = entries.join(known, "documento", "left").select(
-        "id", F.col("id_persona_previa").alias("por_id"), F.lit(False).alias("con_id"), F.lit(None).cast("string").alias("por_respuesta"), "por_datos", (F.col("resolucion") == "revision").alias("dudoso"), F.col("nombre").isNotNull().alias("con_datos")
+    """By the id given, by an earlier answer from the same mail, by document."""
+    entries = table(spark, d, "inscripcion", "id", "id_persona_previa", "documento", "email", "nombre", "resolucion").dropDuplicates(["id"]).withColumn("mail", F.lower("email"))
+    people = table(spark, d, "persona", "documento", "id_persona", "nombre")
+    known = people.filter(F.coalesce(F.trim("nombre"), F.lit("")) != "Kiosco compartido").select(F.col("id_persona").alias("por_id")).distinct()
+    papers = people.filter("documento is not null").groupBy("documento").agg(F.min("id_persona").alias("por_datos"))
+    answered = table(spark, d, "inscripcion", "email", "id_persona").filter("email is not null and id_persona is not null").groupBy(F.lower("email").alias("mail")).agg(F.min("id_persona").alias("por_respuesta"))
+    rows = entries.join(papers, "documento", "left").join(answered, "mail", "left").join(known, F.col("id_persona_previa") == F.col("por_id"), "left").select(
+        "id", "por_id", F.col("id_persona_previa").isNotNull().alias("con_id"), "por_respuesta", "por_datos", (F.col("resolucion") == "revision").alias("dudoso"), F.col("nombre").isNotNull().alias("con_datos")
     )
     return upkeep.recognised(rows).select("id", "clase", "persona")
 

@@ -3,14 +3,15 @@
 import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohortia.functions import polarity
 from cohortia.functions.criteria import Criterion, from_catalogue, normalise
-from cohortia.functions.expressions import check_digit_valid, completed_years, cosine_distance, phone_key
-from cohortia.functions.providers import BagOfWords, Verifier, embedded, verified
-from cohortia.operators import composition, identity, ingest, ledger, participation, profiling, quality, sampling, segments, semantic, topics
+from cohortia.functions.expressions import check_digit_valid, completed_years, cosine_distance, fold, phone_key
+from cohortia.functions.providers import BagOfWords, TransientError, Verifier, embedded, verified
+from cohortia.operators import ann, composition, diagnosis, identity, ingest, ledger, participation, profiling, quality, sampling, segments, semantic, topics
 
 
 def rows(df):
@@ -179,13 +180,89 @@ def test_a_failing_batch_is_halved(spark):
     class Fussy(Verifier):
         def verdicts(self, criterion, texts):
             if "malo" in texts:
-                raise RuntimeError("one text spoils the batch")
+                raise TransientError("one text spoils the batch")
             return ["cumple" if "si" in t else "raro" for t in texts]
 
     df = spark.createDataFrame([(k, t) for k, t in enumerate(["si", "malo", "no", "si"])], "k int, texto string").coalesce(1)
     assert [r["veredicto"] for r in verified(df, Fussy(), "c", batch=25).orderBy("k").collect()] == ["cumple", "sin_verificar", "sin_verificar", "cumple"]
 
 
+def test_a_broken_verifier_is_an_error(spark):
+    class Broken(Verifier):
+        def verdicts(self, criterion, texts):
+            raise KeyError("a mistake")
+
+    df = spark.createDataFrame([(1, "si")], "k int, texto string")
+    with pytest.raises(Exception, match="a mistake"):
+        verified(df, Broken(), "c").collect()
+    assert verified(df, Broken(), "c", seconds=0).first()["veredicto"] == "sin_verificar"
+
+
+def test_folding_of_marks_and_rare_letters(spark):
+    texts = spark.createDataFrame([("jama\u0301s",), ("JAMÁS",), (" Ő Ệ ",), (None,)], "t string")
+    assert [r[0] for r in texts.select(fold(F.col("t"))).collect()] == ["jamas", "jamas", "o e", None]
+
+
+def test_rule_sample_is_trimmed_and_completed(spark):
+    people = [(f"p{k:02}", "a" if k < 3 else "b" if k < 20 else "c", k, 0, 0) for k in range(30)]
+    eligible = spark.createDataFrame(people, "persona string, categoria string, recientes int, totales int, respondidas int")
+    quota = spark.createDataFrame([("a", 5, 6), ("b", 4, 4)], "categoria string, faltan long, cupo long")
+    got = rows(sampling.by_quota(eligible, quota, "persona", 10).select("categoria", "completa", "persona"))
+    assert [x[0] for x in got].count("a") == 3 and [x[0] for x in got].count("b") == 7 and sum(x[1] for x in got) == 3
+    assert rows(sampling.by_quota(eligible, quota, "persona", 2).select("persona")) == [("p00",), ("p01",)]
+    assert sampling.by_quota(eligible.limit(0), quota, "persona", 5).count() == 0
+    assert rows(sampling.shortfalls(eligible, quota)) == [("a", 5, 6, 3)]
+
+
+def test_approximate_search(spark):
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(8, 16)) * 4
+    vectors = [(k, (centres[k % 8] + rnd.normal(size=16)).tolist(), "x") for k in range(900)] + [(900, None, "x"), (901, [], "x"), (902, [1.0], "x")]
+    df = spark.createDataFrame(vectors, "k long, v array<double>, lista string").repartition(3)
+    queries = df.filter("k % 20 = 0")
+    exact = semantic.nearest_each(df.select("k", "v"), queries, 10, "k", "v")
+    index = ann.fitted(df, "k", "v", lists=16, probes=4, sample=300)
+    got = ann.search(index, df, queries, 10, "k", "v")
+    told = ann.audit(exact.filter("consulta < 900"), got, "k").collect()
+    assert len(told) == 45 and sum(r["exactitud"] for r in told) / 45 >= 0.95
+    assert all(r["primer_lugar"] is None or r["faltan"] for r in told)
+    whole = ann.fitted(df, "k", "v", lists=16, probes=16, sample=300)
+    assert ann.audit(exact.filter("consulta < 900"), ann.search(whole, df, queries, 10, "k", "v"), "k").filter("faltan > 0").count() == 0
+    assert ann.search(ann.fitted(df.limit(0), "k", "v"), df.limit(0), queries.limit(0), 3, "k", "v").count() == 0
+
+
+def test_diagnosis_of_a_file(spark):
+    cells = [("vacia", None)] * 30 + [("fija", "x")] * 29 + [("fija", "X")] + [("nombre", "ana@x.com "), ("nombre", "Ns/Nc"), ("nombre", "JosÃ©")] + [("nombre", "")] * 27
+    out = {(r["codigo"], r["tipo"]): (r["severidad"], r["cuantos"]) for r in diagnosis.diagnosed(spark.createDataFrame(cells, "codigo string, valor string"), 30).collect()}
+    assert out == {
+        ("vacia", "variable_vacia"): (2, 30), ("fija", "casi_constante"): (3, 29), ("fija", "formas_de_un_valor"): (3, 1), ("nombre", "datos_personales"): (1, 1),
+        ("nombre", "espacios"): (3, 1), ("nombre", "no_respuesta"): (2, 1), ("nombre", "codificacion"): (1, 1), ("nombre", "mayormente_vacia"): (3, 27),
+    }
+    assert diagnosis.diagnosed(spark.createDataFrame([], "codigo string, valor string"), 0).count() == 0
+
+
+def test_ingestion_of_a_file(spark):
+    wide = spark.createDataFrame([(1, "D1", "sí", None, True), (2, "D2", " ", "no sabe", True), (3, "D1", "sí", "b", None), (4, None, "x", "y", True), (5, "D3", "z", "z", True)], "id int, doc string, p string, q string, ok boolean")
+    people = spark.createDataFrame([("D1", "A"), ("D2", "B"), ("D3", "C"), ("D3", "D"), ("D1", "A"), (None, "E")], "doc string, id_persona string")
+    out = {r["destino"]: (r["celdas"], r["filas"], r["personas"], r["unidades"]) for r in ingest.summary(ingest.ingested(wide, "id", ["p", "q"], "doc", people, F.col("ok")), "id").collect()}
+    assert out == {"cargada": (1, 1, 1, 1), "vacia": (2, 2, 2, 0), "no_respuesta": (1, 1, 1, 0), "sin_permiso": (2, 1, 1, 0), "sin_persona": (4, 2, 0, 0)}
+
+
+def test_frozen_batches_and_verdicts(spark):
+    units = spark.createDataFrame([(f"{k:03}", "me gusta el precio" if k % 2 else "otra cosa") for k in range(25)], "hash string, texto string")
+    frozen = semantic.frozen_batches(units, 10)
+    assert rows(frozen.groupBy("lote").count()) == [(0, 10), (1, 10), (2, 5)]
+    new = spark.createDataFrame([("000", "cumple", 1.0)], "hash string, veredicto string, relevancia double")
+    known = semantic.verdict_upsert(semantic.verdict_upsert(None, new), new.withColumn("veredicto", F.lit("dudoso")))
+    out = {r["hash"]: r["veredicto"] for r in semantic.assembled(frozen, known).collect()}
+    assert len(out) == 25 and out["000"] == "dudoso" and out["001"] == "sin_verificar"
+
+
+def test_personal_data_is_masked(spark):
+    texts = spark.createDataFrame([("CI 1.234.567-2, mail a@b.com, www.x.com",), (None,), ("",), ("nada",)], "t string")
+    assert [r[0] for r in profiling.masked(texts, "t").collect()] == ["CI [cedula], mail [correo], [url]", None, "", "nada"]
+
+
 def test_personal_data(spark):
     texts = [("escribí a ana.p@mail.com o www.x.com/y",), ("mi cédula 1.234.567-2 y cel 099 123 456",), ("ref 12345678",), (None,), ("",)]
     found = profiling.personal_data(spark.createDataFrame(texts, "t string"), "t").select("hallazgos").collect()

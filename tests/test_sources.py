@@ -74,13 +74,27 @@ def test_inbox_keeps_each_notice_once_and_the_latest_status(spark, tmp_path):
     inbox.run_inbox(spark, str(source), table, checkpoint).awaitTermination()
     deliver("2.json", [{"mensaje": "m1", "estado": "delivered", "en": "2024-01-01 01:00:00"}, {"mensaje": "m2", "estado": "sent", "en": "2024-01-01 01:00:00"}])
     inbox.run_inbox(spark, str(source), table, checkpoint).awaitTermination()
-    got = {r["mensaje"]: r["estado"] for r in inbox.current_statuses(spark, table).collect()}
+    got = {r["mensaje"]: r["estado"] for r in inbox.latest(inbox.current_statuses(spark, table)).collect()}
     assert got == {"m1": "read", "m2": "sent"}
+    assert sorted((r["mensaje"], r["estado"]) for r in inbox.current_statuses(spark, table).collect()) == [("m1", "delivered"), ("m1", "read"), ("m1", "sent"), ("m2", "sent")]
+    assert [r["cuerpo"] for r in inbox.failed_notices(spark, table).collect()] == ["no json"]
+    for k, (n, hour) in enumerate([("m1", 5), ("m1", 6), ("m1", 7)]):  # versions that newer ones have replaced are deleted
+        deliver(f"{3 + k}.json", [{"mensaje": n, "estado": "read", "en": f"2024-01-01 0{hour}:00:00"}])
+        inbox.run_inbox(spark, str(source), table, checkpoint).awaitTermination()
+    assert {(r["mensaje"], r["estado"]): r["en"].hour for r in inbox.current_statuses(spark, table).collect()}["m1", "read"] == 7
+    parts = inbox._written(spark, table)
+    assert max(sum(p in own for own in parts.values()) for p in {p for own in parts.values() for p in own}) == 2
     stored = inbox.parsed(spark.createDataFrame([("no json", datetime(2024, 1, 1)), (json.dumps(one), datetime(2024, 1, 1))], "cuerpo string, recibido_en timestamp"))
     assert sorted(r["estado_aviso"] for r in stored.collect()) == ["fallido", "procesado"]
     assert inbox.reprocessed(stored).count() == 1
 
 
+def test_calls_in_windows_of_days(spark):
+    stream = spark.createDataFrame([("a", datetime(2024, 1, 1, 3)), ("a", datetime(2024, 1, 1, 9)), ("a", datetime(2024, 2, 1)), ("a", datetime(2024, 6, 1)), ("b", datetime(2024, 1, 5))], "persona string, en timestamp")
+    days = inbox.calls_by_day(stream)
+    assert sorted((r["persona"], str(r["hasta"]), r["llamados"]) for r in inbox.calls_in_window(days).collect()) == [("a", "2024-01-01", 2), ("a", "2024-02-01", 3), ("a", "2024-06-01", 1), ("b", "2024-01-05", 1)]
+
+
 def test_batches_and_late_changes(spark):
     df = spark.createDataFrame([(k,) for k in range(10)], "v int")
     assert sorted((r["v"], r["lote"]) for r in inbox.numbered(df, 4, ["v"]).collect()) == [(v, v // 4) for v in range(10)]
