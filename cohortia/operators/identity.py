@@ -38,39 +38,57 @@ def decide(entries: DataFrame, people: DataFrame, entry: str = "id") -> DataFram
 
     document equal: reuse; mail equal: reuse; phone: of the owners who don't contradict by document or mail, none: go on, the
     only owner with a compatible name: reuse, else review; without document and mail, name and birth date equal: review; else create.
-    Each rule is an equi-join with one row per identifier, so nobody multiplies.
+
+    People are aggregated once, a row per identifier; entries meet them in one join and come together again. A phone of any number of owners is one
+    row: where neither document nor mail decides, an owner contradicts exactly if both sides have the one or the other.
     """
-    mail = F.lower(F.trim("email"))
-    by_paper = owners(people, F.col("documento")).select(F.col("clave").alias("documento"), F.col("persona").alias("p_documento"))
-    by_mail = owners(people, mail).select(F.col("clave").alias("mail"), F.col("persona").alias("p_email"))
-    phones = people.select(phone_key(F.col("celular")).alias("fono"), F.col("id_persona").alias("dueno"), F.col("documento").alias("d2"), mail.alias("m2"), F.col("nombre").alias("n2")).filter("fono is not null")
-    new = entries.select(entry, "nombre", "documento", mail.alias("mail"), phone_key(F.col("celular")).alias("fono"), "fecha_nacimiento")
-    contradicts = (F.col("documento") != F.col("d2")) | (F.col("mail") != F.col("m2"))
-    held = (
-        new.join(phones, "fono")
-        .groupBy(entry)
-        .agg(
-            F.count_distinct("dueno").alias("duenos"),
-            F.count_if(~F.coalesce(contradicts, F.lit(False))).alias("posibles"),
-            F.min(F.when(~F.coalesce(contradicts, F.lit(False)), F.col("dueno"))).alias("p_celular"),
-            F.bool_or(compatible_names(F.col("nombre"), F.col("n2"))).alias("compatible"),
-        )
+
+    def keyed(df: DataFrame, key: str) -> DataFrame:
+        mail = F.nullif(F.lower(F.trim("email")), F.lit(""))
+        named = F.when(F.col("nombre").isNotNull() & F.col("fecha_nacimiento").isNotNull(), F.concat_ws("|", F.lower("nombre"), F.col("fecha_nacimiento").cast("string")))
+        given = {"documento": F.nullif("documento", F.lit("")), "email": mail, "celular": phone_key(F.col("celular")), "nombre_fecha": named}
+        ids = F.array(*(F.struct(F.lit(k).alias("tipo"), v.alias("valor")) for k, v in given.items()))
+        return df.select(F.col(key).alias("e"), "nombre", F.col("documento").isNull().alias("sin_d"), F.lower(F.trim("email")).isNull().alias("sin_m"), F.explode(ids).alias("x")).select("e", "nombre", "sin_d", "sin_m", "x.*")
+
+    owned = keyed(people, "id_persona").filter("valor is not null").groupBy("tipo", "valor").agg(
+        F.min("e").alias("primera"), F.max("e").alias("ultima"), F.min_by("nombre", "e").alias("n2"), F.bool_or("sin_d").alias("algun_sin_d"), F.bool_or("sin_m").alias("algun_sin_m"), F.bool_or(F.col("sin_d") & F.col("sin_m")).alias("alguno_sin")
     )
-    by_name = owners(people.filter("fecha_nacimiento is not null"), F.concat_ws("|", F.lower("nombre"), F.col("fecha_nacimiento").cast("string"))).select(F.col("clave").alias("nn"), F.col("persona").alias("p_nombre"))
-    named = F.when(F.col("nombre").isNotNull() & F.col("fecha_nacimiento").isNotNull(), F.concat_ws("|", F.lower("nombre"), F.col("fecha_nacimiento").cast("string")))
-    joined = new.withColumn("nn", named).join(by_paper, "documento", "left").join(by_mail, "mail", "left").join(held, entry, "left").join(by_name, "nn", "left")
-    alone = (F.col("duenos") == 1) & F.col("compatible")
-    bare = F.col("documento").isNull() & F.col("mail").isNull()
+    met = keyed(entries, entry).join(owned, ["tipo", "valor"], "left")
+    phone = F.col("tipo") == "celular"
+    possible = F.when(F.col("sin_d") & F.col("sin_m"), True).when(F.col("sin_d"), F.col("algun_sin_m")).when(F.col("sin_m"), F.col("algun_sin_d")).otherwise(F.col("alguno_sin"))
+    alone = (F.col("primera") == F.col("ultima")) & compatible_names(F.col("nombre"), F.col("n2"))
+    of = lambda kind: F.max(F.when(F.col("tipo") == kind, F.col("primera"))).alias(f"p_{kind}")
+    flag = lambda c, name: F.coalesce(F.bool_or(phone & F.col("primera").isNotNull() & c), F.lit(False)).alias(name)
+    joined = met.groupBy("e").agg(*(of(k) for k in ("documento", "email", "celular", "nombre_fecha")), flag(possible, "posible"), flag(possible & alone, "sola"), F.bool_and(F.col("sin_d") & F.col("sin_m")).alias("sin_nada"))
     rule = (
         F.when(F.col("p_documento").isNotNull(), "documento")
         .when(F.col("p_email").isNotNull(), "email")
-        .when(F.col("posibles") > 0, F.when(alone, "celular").otherwise("celular_dudoso"))
-        .when(bare & F.col("p_nombre").isNotNull(), "nombre_fecha")
+        .when(F.col("posible"), F.when(F.col("sola"), "celular").otherwise("celular_dudoso"))
+        .when(F.col("sin_nada") & F.col("p_nombre_fecha").isNotNull(), "nombre_fecha")
         .otherwise("ninguna")
     )
     decision = F.when(F.col("regla").isin("documento", "email", "celular"), "reutiliza").when(F.col("regla") == "ninguna", "crea").otherwise("revision")
-    chosen = F.when(F.col("regla") == "documento", F.col("p_documento")).when(F.col("regla") == "email", F.col("p_email")).when(F.col("regla") == "celular", F.col("p_celular")).when(F.col("regla") == "nombre_fecha", F.col("p_nombre"))
-    return joined.withColumn("regla", rule).select(entry, decision.alias("decision"), chosen.alias("persona"), "regla")
+    chosen = F.when(F.col("regla") == "documento", F.col("p_documento")).when(F.col("regla") == "email", F.col("p_email")).when(F.col("regla") == "celular", F.col("p_celular")).when(F.col("regla") == "nombre_fecha", F.col("p_nombre_fecha"))
+    return joined.withColumn("regla", rule).select(F.col("e").alias(entry), decision.alias("decision"), chosen.alias("persona"), "regla")
+
+
+def resolve_typed(values: DataFrame, people: DataFrame, aliases: DataFrame, kind: str = "tipo", value: str = "valor") -> DataFrame:
+    """values with persona and motivo, each by its kind: uuid, alias (within its origen), documento, email (lower case), celular (only one owner).
+
+    people: id_persona, documento, email, celular; aliases: origen, alias, id_persona. values: kind, value, origen. One join, a row per identifier;
+    motivo: tipo_desconocido, vacio, desconocido, ambiguo, or null if resolved.
+    """
+    ids = {"uuid": F.col("id_persona"), "documento": F.col("documento"), "email": F.lower(F.trim("email")), "celular": phone_key(F.col("celular"))}
+    entries = people.select("id_persona", F.explode(F.array(*(F.struct(F.lit(k).alias("__t"), v.alias("__v")) for k, v in ids.items()))).alias("x")).select("id_persona", "x.*")
+    scoped = lambda alias: F.concat_ws("|", F.coalesce("origen", F.lit("")), alias)
+    entries = entries.unionByName(aliases.filter("alias is not null").select("id_persona", F.lit("alias").alias("__t"), scoped(F.col("alias")).alias("__v")))
+    owned = entries.filter("__v is not null and __v <> ''").groupBy("__t", "__v").agg(F.min("id_persona").alias("persona"), F.max("id_persona").alias("__u"))
+    given = F.trim(value)
+    key = F.when(F.col(kind) == "email", F.lower(given)).when(F.col(kind) == "celular", phone_key(given)).when(F.col(kind) == "alias", F.when(given != "", scoped(given))).otherwise(given)
+    joined = values.withColumn("__t", F.col(kind)).withColumn("__v", F.nullif(key, F.lit(""))).join(owned, ["__t", "__v"], "left")
+    known = F.coalesce(F.col("__t").isin(*ids, "alias"), F.lit(False))
+    reason = F.when(~known, "tipo_desconocido").when(F.col("__v").isNull(), "vacio").when(F.col("persona").isNull(), "desconocido").when(F.col("persona") != F.col("__u"), "ambiguo")
+    return joined.withColumn("motivo", reason).withColumn("persona", F.when(F.col("motivo").isNull(), F.col("persona"))).drop("__t", "__v", "__u")
 
 
 def candidates(entries: DataFrame, people: DataFrame, keys: dict[str, Column], entry: str, person: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortia.operators import ann, diagnosis, ingest, segments, semantic, topics
+from cohortia.operators import ann, diagnosis, identity, ingest, segments, semantic, topics
 from cohortia.plans import answers, panel, roles
 from cohortia.plans.answers import CRITERIA, _judged_sql, _query_vector
 from cohortia.sources.tables import table
@@ -110,6 +110,22 @@ def load_list(spark, d):
     return listed.select("encuesta_id", "respuestas", "personas", F.row_number().over(Window.orderBy(F.desc_nulls_last("primera"), "encuesta_id")).alias("orden"))
 
 
+@query(f"""with p as (select distinct id_persona, documento, email, celular from persona), i as (select distinct id, documento, email, celular, nombre, id_persona_previa, origen from inscripcion),
+ al as (select distinct coalesce(origen, '') || '|' || nombre as v, id_persona from inscripcion where nombre is not null and id_persona is not null),
+ k as (select 'uuid' as tipo, id_persona as v, id_persona from p union all select 'documento', documento, id_persona from p union all select 'email', lower(trim(email, ' ')), id_persona from p
+  union all select 'celular', {answers._FONO}, id_persona from p, {answers._PHONE.format(c="p.celular")} union all select 'alias', v, id_persona from al),
+ o as (select tipo, v, min(id_persona) as persona, count(distinct id_persona) as n from k where v is not null and v <> '' group by all),
+ c as (select id, unnest([{{'tipo': 'uuid', 'valor': id_persona_previa}}, {{'tipo': 'documento', 'valor': documento}}, {{'tipo': 'email', 'valor': email}}, {{'tipo': 'celular', 'valor': celular}}, {{'tipo': 'alias', 'valor': nombre}}, {{'tipo': 'otro', 'valor': nombre}}], recursive := true), origen from i),
+ w as (select c.*, nullif(case tipo when 'email' then lower(trim(valor, ' ')) when 'celular' then {answers._FONO} when 'alias' then case when trim(valor, ' ') <> '' then coalesce(origen, '') || '|' || trim(valor, ' ') end else trim(valor, ' ') end, '') as v from c, {answers._PHONE.format(c="trim(c.valor, ' ')")})
+select id, w.tipo, valor, case when w.tipo <> 'otro' and n = 1 then persona end as persona, case when w.tipo = 'otro' then 'tipo_desconocido' when v is null then 'vacio' when n is null then 'desconocido' when n > 1 then 'ambiguo' end as motivo from w left join o using (tipo, v)""")
+def identifiers_by_kind(spark, d):
+    entries = table(spark, d, "inscripcion", "id", "documento", "email", "celular", "nombre", "id_persona_previa", "origen").dropDuplicates(["id"])
+    fields = {"uuid": "id_persona_previa", "documento": "documento", "email": "email", "celular": "celular", "alias": "nombre", "otro": "nombre"}
+    values = entries.select("id", "origen", F.explode(F.array(*(F.struct(F.lit(k).alias("tipo"), F.col(c).alias("valor")) for k, c in fields.items()))).alias("x")).select("id", "origen", "x.*")
+    aliases = table(spark, d, "inscripcion", "origen", F.col("nombre").alias("alias"), "id_persona").filter("id_persona is not null")
+    return identity.resolve_typed(values, roles.people(spark, d), aliases).select("id", "tipo", "valor", "persona", "motivo")
+
+
 # --- topics -------------------------------------------------------------------------------------------------------
 
 _TOPICS = """hechos as (select distinct id_persona as persona, source as tema from documents where id_persona is not null and source is not null),
