@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cohortia.plans import answers, panel, pipelines, training, upkeep
+from cohortia.plans import answers, exchange, panel, pipelines, training, upkeep
 
-_MODULES = [training, panel, answers, upkeep, pipelines]
+_MODULES = [training, panel, answers, upkeep, pipelines, exchange]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
