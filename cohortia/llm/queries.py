@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortia.llm import canonical, mixing, quotas, splitting, tokens, variants
@@ -54,6 +54,15 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.join(sizes, "persona").select("clave", "persona", (F.col("n") + own).alias("enlaces"))
 
 
+def p3_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each record is in one group, persons head groups and join none, and every group's head exists."""
+    groups = _groups(spark, d)
+    persons = table(spark, d, "persona", F.concat(F.lit("p"), "id_persona").alias("persona")).distinct()
+    heads = groups.filter("persona like 'p%'").select("persona").distinct().join(persons, "persona", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    own = groups.agg((F.count(F.lit(1)) == F.count_distinct("clave")).alias("una_vez"), (F.count_if(F.col("clave").startswith("p")) == 0).alias("personas_aparte"))
+    return own.select("una_vez", "personas_aparte", (heads.select("n").scalar() == 0).alias("existen"))
+
+
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "persona_atributo", "id", "atributo_id", "categoria_id", "valor_crudo")
     return canonical.map_values(rows, table(spark, d, "atributo_categoria"))
@@ -67,6 +76,11 @@ def p5_misses(spark: SparkSession, d: str) -> DataFrame:
     return canonical.misses(_mapped(spark, d))
 
 
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Typed values looked up, by attribute."""
+    return _mapped(spark, d).groupBy("atributo_id").agg(F.count(F.lit(1)).alias("casos"), F.count_distinct("id").alias("filas"))
+
+
 def _texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return spread(table(spark, d, "documents", "doc_id", "text", *columns), "doc_id")
 
@@ -84,6 +98,12 @@ def p6_spans(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(_texts(spark, d), byte_ends="byte_fin")
 
 
+def p6_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of each text by the end of its last token."""
+    ends = tokens.encode_texts(_texts(spark, d), byte_ends="byte_fin")
+    return ends.select("doc_id", F.coalesce(F.try_element_at("byte_fin", F.lit(-1)), F.lit(0)).cast("bigint").alias("bytes"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Sources of which the mix has all repetitions, and less than their target."""
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mezcla_objetivo"))[1].filter("agotada").select("source")
@@ -116,7 +136,16 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(_texts(spark, d), only_long=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p1_invariants, p3_found, p3_groups, p5_found, p5_misses, p6_ids, p6_round_trip, p6_spans, p7_found, p7_mix, p7_shares, p7_invariants, p8_found, p8_pieces)}
+def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id and text put together from its pieces without what overlaps, and whether all are within the limit."""
+    cut = splitting.split_texts(_texts(spark, d))
+    before = F.lag("char_fin").over(Window.partitionBy("doc_id").orderBy("pieza"))
+    own = cut.withColumn("propio", F.substring(F.col("texto"), F.coalesce(before - F.col("char_ini"), F.lit(0)) + 1, F.length("texto")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pieza", "propio"))), lambda x: x["propio"]), "")
+    return own.groupBy("doc_id").agg(joined.alias("text"), F.bool_and(F.col("n_tokens") <= splitting.LIMIT).alias("dentro"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p1_invariants, p3_found, p3_groups, p3_invariants, p5_found, p5_misses, p5_counts, p6_ids, p6_round_trip, p6_spans, p6_lengths, p7_found, p7_mix, p7_shares, p7_invariants, p8_found, p8_pieces, p8_round_trip)}
 
 SQL = {
     "p1_found": """
@@ -134,5 +163,9 @@ with o as (select panel_id, max(coalesce(n_muestra, 0)) as n from objetivo_compo
  m as (select panel_id, count(distinct id_persona) as hay from membresia where estado = 'activo' and id_persona is not null group by 1)
 select panel_id, least(n, hay) as personas, true as validas, true as minimos from o join m using (panel_id) where least(n, hay) > 0""",
     "p7_invariants": "select distinct source, true as cerca_siempre, true as cerca_al_final, true as repeticiones, true as sin_duplicados from mezcla_objetivo",
+    "p3_invariants": "select true as una_vez, true as personas_aparte, true as existen",
+    "p5_counts": "select atributo_id, count(distinct id) as casos, count(distinct id) as filas from persona_atributo where categoria_id is null and valor_crudo is not null group by 1",
+    "p6_lengths": "select doc_id, coalesce(strlen(text), 0) as bytes from documents",
+    "p8_round_trip": "select doc_id, text, true as dentro from documents where text <> ''",
     "p6_round_trip": "select doc_id, coalesce(text, '') as text from documents",
 }
