@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from cohortia.functions.typed import bounded_distance, folded, weighted_distance
+from cohortia.llm.typed import bounded_distance, folded, weighted_distance
 from cohortia.llm import canonical
 
 ENTRIES = [(1, "Puerto Almeja", 5), (2, "Puerto Almena", 9), (3, "Villa Cendal", 1), (4, "San Aurelio", 1), (5, "Santa Aurelia", 1), (6, "La Cimbrada", 1), (7, "Monte Larguero", 1), (8, "Bañado Grande", 1), (9, "Maestro de escuela", 1), (10, "Peón rural", 1)]
