@@ -56,7 +56,7 @@ def decide(entries: DataFrame, people: DataFrame, entry: str = "id") -> DataFram
     met = keyed(entries, entry).join(owned, ["tipo", "valor"], "left")
     phone = F.col("tipo") == "celular"
     possible = F.when(F.col("sin_d") & F.col("sin_m"), True).when(F.col("sin_d"), F.col("algun_sin_m")).when(F.col("sin_m"), F.col("algun_sin_d")).otherwise(F.col("alguno_sin"))
-    alone = (F.col("primera") == F.col("ultima")) & compatible_names(F.col("nombre"), F.col("n2"))
+    alone = F.when(phone & (F.col("primera") == F.col("ultima")), compatible_names(F.col("nombre"), F.col("n2")))  # names are read for phones of one owner only
     of = lambda kind: F.max(F.when(F.col("tipo") == kind, F.col("primera"))).alias(f"p_{kind}")
     flag = lambda c, name: F.coalesce(F.bool_or(phone & F.col("primera").isNotNull() & c), F.lit(False)).alias(name)
     joined = met.groupBy("e").agg(*(of(k) for k in ("documento", "email", "celular", "nombre_fecha")), flag(possible, "posible"), flag(possible & alone, "sola"), F.bool_and(F.col("sin_d") & F.col("sin_m")).alias("sin_nada"))
