@@ -84,13 +84,17 @@ def _near_nicknames(word: str) -> set[str]:
     return set().union(*(_NICKNAMES_BY.get(x, ()) for x in _shorter(word))) if len(word) >= 4 else set()
 
 
+_JOINED = re.compile(r"(?<=[^\W\d_A-ZÁÉÍÓÚÑ])(?=[A-ZÁÉÍÓÚÑ])")  # between words written without a space
+
+
 def words_of(name: str | None) -> tuple[list[str], list[str]]:
     """(full words, initials) of a name: folded, without particles and titles, nicknames as given names, each once."""
     full, initials = [], []
     text = name or ""
-    outside = re.sub(r"\([^)]*\)", " ", text)  # what stands in parentheses repeats the name in another form
-    text = outside if len(folded(outside).split()) >= 2 else text
-    for w in folded(re.sub(r"(?<=[^\W\d_A-ZÁÉÍÓÚÑ])(?=[A-ZÁÉÍÓÚÑ])", " ", text)).split():
+    if "(" in text:  # what stands in parentheses repeats the name in another form
+        outside = re.sub(r"\([^)]*\)", " ", text)
+        text = outside if len(folded(outside).split()) >= 2 else text
+    for w in folded(_JOINED.sub(" ", text)).split():
         if w in PARTICLES or w in TITLES or w.isdigit():
             continue
         if len(w) == 1:
