@@ -11,7 +11,7 @@ from cohortia.functions import polarity
 from cohortia.functions.criteria import Criterion, from_catalogue, normalise
 from cohortia.functions.expressions import check_digit_valid, completed_years, cosine_distance, fold, phone_key
 from cohortia.functions.providers import BagOfWords, TransientError, Verifier, embedded, verified
-from cohortia.operators import ann, composition, diagnosis, identity, ingest, ledger, participation, profiling, quality, sampling, segments, semantic, topics
+from cohortia.operators import ann, composition, diagnosis, identity, ingest, ledger, participation, profiling, quality, sampling, segments, semantic, skew, topics
 
 
 def rows(df):
@@ -311,3 +311,39 @@ def test_masked_covers_national_numbers(spark):
 
     texts = spark.createDataFrame([("ci 1.234.567-2 y a@b.uy",), ("ci 1.234.567-3",), (None,)], "t string")
     assert [r["t"] for r in profiling.masked(texts, "t").collect()] == ["ci [cedula] y [correo]", "ci 1.234.567-3", None]
+
+
+def test_people_by_topics_with_nulls(spark):
+    facts = spark.createDataFrame([("p", "t1"), ("p", "t1"), ("q", "t2"), ("r", "t3"), ("s", None), (None, "t1")], "persona string, tema string")
+    catalogue = spark.createDataFrame([("t1", "a", None), ("t2", "b", True), ("Té3", "b", False)], "tema string, area string, especial boolean")
+    assert rows(topics.people_with(facts.filter("persona is not null"), catalogue, "persona", ids=["t1"], areas=["b"])) == [("p",)]
+    assert rows(topics.people_with(facts.filter("persona is not null"), catalogue, "persona", areas=["b"], special=True)) == [("q",)]
+    assert topics.people_with(facts.withColumn("tema", F.lit("Té3")), catalogue, "persona", names=["te3"], special=True).count() == 5
+    assert topics.people_with(facts.limit(0), catalogue.limit(0), "persona", ids=["t1"]).count() == 0
+
+
+def test_typed_identifiers(spark):
+    people = spark.createDataFrame([("A", "D1", " X@y.z", "099123456"), ("B", "D2", None, "099 123 456"), ("C", None, "", None)], "id_persona string, documento string, email string, celular string")
+    aliases = spark.createDataFrame([("o1", "ana", "A"), ("o2", "ana", "B"), ("o1", None, "C")], "origen string, alias string, id_persona string")
+    asked = [("uuid", "C", None), ("documento", " D1 ", None), ("email", "x@Y.z", None), ("celular", "+598 99123456", None), ("alias", "ana", "o2"), ("alias", "ana", "o3"), ("email", "", None), ("otro", "x", None), (None, "x", None), ("uuid", None, None)]
+    got = [(r["persona"], r["motivo"]) for r in identity.resolve_typed(spark.createDataFrame([(k, *x) for k, x in enumerate(asked)], "k int, tipo string, valor string, origen string"), people, aliases).orderBy("k").collect()]
+    assert got == [("C", None), ("A", None), ("A", None), (None, "ambiguo"), ("B", None), (None, "desconocido"), (None, "vacio"), (None, "tipo_desconocido"), (None, "tipo_desconocido"), (None, "vacio")]
+
+
+def test_ages_by_provenance(spark):
+    from datetime import date
+
+    people = spark.createDataFrame([("a", date(2000, 2, 29)), ("b", None), ("c", None), ("d", None)], "id_persona string, fecha_nacimiento date")
+    t = datetime(2020, 1, 1)
+    data = [(1, "b", 3, None, 30.0, None, date(2020, 6, 1), None, None, t), (2, "b", 2, 7, None, None, None, None, None, t), (3, "c", 2, 7, None, None, None, None, None, t), (4, "d", 2, 7, None, None, None, None, datetime(2021, 1, 1), t)]
+    rows_ = spark.createDataFrame(data, "id long, id_persona string, atributo_id long, categoria_id long, valor_num double, valor_fecha date, fecha_referencia date, desde timestamp_ntz, hasta timestamp_ntz, actualizado_en timestamp_ntz")
+    categories = spark.createDataFrame([(7, 2, "35-44")], "id long, atributo_id long, clave string")
+    at = F.expr("timestamp_ntz '2025-02-28 00:00:00'")
+    assert rows(segments.aged(people, rows_, categories, at, 3, 2)) == [("a", 24, "derivado", "18-24"), ("b", 34, "envejecido", "25-34"), ("c", None, "tramo_guardado", "35-44")]
+
+
+def test_all_heavy_keys_are_found(spark):
+    df = spark.range(6000).select((F.col("id") % 600).alias("k"))
+    heavy = skew.heavy_keys(df, ["k"], 5)
+    assert heavy.count == 600 and heavy.largest == 10 and heavy.only(df).count() == 6000 and heavy.without(df).count() == 0
+    assert skew.heavy_keys(df, ["k"], 10) is None and skew.heavy_keys(df.limit(0), ["k"], 1) is None
