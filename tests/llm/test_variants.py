@@ -208,6 +208,20 @@ def test_components_of_long_chains(spark):
     assert v.components(both.limit(0)).collect() == []
 
 
+def test_plans_do_not_repeat_what_they_read(spark, monkeypatch):
+    """Plans that repeat the steps before them, at each further use, fill the driver."""
+    leaves = lambda df: df._jdf.queryExecution().analyzed().collectLeaves().size()
+    read, real = [], v.cut
+    monkeypatch.setattr(v, "cut", lambda df: read.append(leaves(df)) or real(df))
+    edges = [(f"i{a}", f"i{a + 1}") for a in range(9)]
+    v.components(spark.createDataFrame([*edges, *((b, a) for a, b in edges)], "a string, b string"))
+    assert len(read) > 2 and max(read) <= 4
+    rows = [("pA", "Ana Zubizarreta Paz", D, None, None, None, None), *((f"i{k}", "Ana Subizarreta Paz", D, None, None, None, []) for k in range(2)), *((f"r{k}", "Zulma Torrendo", D, None, "q@q.q", None, []) for k in range(2))]
+    pairs = v.pairs_of(v.links(spark.createDataFrame(rows, RECORDS)))
+    assert leaves(pairs) <= 4 and max(read) <= 16
+    assert sorted(map(tuple, pairs.collect())) == [("i0", "i1"), ("i0", "pA"), ("i1", "pA"), ("r0", "r1")]
+
+
 def test_two_rare_spellings_are_linked(spark):
     rows = [
         ("pC", "Zulma Torrendo Paz", date(1999, 9, 9), None, None, None, None),
